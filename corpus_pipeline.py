@@ -1,17 +1,73 @@
 """Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, tokenisation.
 
-Each stage is a function of (spark, docs, sf_dir).  ``run`` writes each stage's
-rows to the shared folder and rereads them as the next one's documents.
-SQL can't express the SimHash or zstandard stages, so there is no oracle.
+Each stage is a function of (spark, docs, sf_dir); ``run`` writes its rows as
+Parquet in the shared folder and rereads them as the next stage's documents.
+All but the last stage return the columns of documents.
+
+SQL can't express the SimHash, MinHash and zstandard stages, so there is no
+oracle; the tests hold each stage against a brute-force version.
+
+Rows with a null doc_id can't be named by an operator's report: near-dedup and
+decontamination keep them; the other stages judge them like any row.  Rows that
+repeat both doc_id and text count as copies, of which near-dedup keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docspark.llm import bpe, decontaminate, language_id, secrets, simhash
+from docspark.llm.common import sized, without_ids, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an identified language, under that language."""
+    columns = docs.columns
+    marked = docs.withColumn("_row_hash", F.xxhash64("text", "lang", "source"))
+    evidence = language_id.document_evidence(docs).withColumn("_row_hash", F.xxhash64("text", "declared", "host"))
+    judged = language_id.classify(evidence.withColumn("_declared", F.col("declared")), ["doc_id", "_row_hash", "_declared"])
+    changes = judged.where(~F.col("lang").eqNullSafe(F.col("_declared"))).select(F.col("doc_id").alias("_id"), F.col("_row_hash").alias("_hash"), F.col("lang").alias("_new"), F.lit(True).alias("_changed")).distinct()
+    changes = sized(written(changes, "language-changes"))
+    out = marked.join(changes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    out = out.where(F.col("_changed").isNull() | F.col("_new").isNotNull()).withColumn("lang", F.coalesce("_new", "lang"))
+    return out.select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, and every document without near duplicates."""
+    removed = written(simhash.near_duplicates(docs).where(~F.col("keep")).select("doc_id"), "dedup-removed")
+    kept = without_ids(docs, removed)
+    repeated = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
+    if repeated.isEmpty():
+        return kept
+    copies = kept.join(repeated, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
+    return without_ids(kept, repeated).unionByName(copies.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy").select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, written(found.select("doc_id").distinct(), "contaminated"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked and n_chars to match."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of every document."""
+    return bpe.encode(docs)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("simhash_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_redaction), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -141,14 +141,19 @@ def host_priors(scored: DataFrame, languages: int, strength: float) -> tuple[Dat
     return joined.select(F.col("domain").alias("h_domain"), F.col("host").alias("h_host"), own.alias("prior")), np.log(root)
 
 
-def identify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, min_docs: int = 5, weight: float = 0.3, strength: float = 20.0, und_prior: float = 1e-3) -> DataFrame:
-    """Keys, ``lang`` and ``confidence`` of every row that isn't rejected."""
+def identify(rows: DataFrame, keys: list[str], **options) -> DataFrame:
+    """Keys, ``lang`` and ``confidence`` of every row that isn't rejected; the options are those of ``classify``."""
+    return classify(rows, keys, **options).where(F.col("lang").isNotNull())
+
+
+def classify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, min_docs: int = 5, weight: float = 0.3, strength: float = 20.0, und_prior: float = 1e-3) -> DataFrame:
+    """Keys, ``lang`` (null: rejected) and ``confidence`` of every row."""
     code = F.regexp_extract(F.lower(F.trim("declared")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     rows = rows.withColumn("declared", F.when(code != "", code)).withColumn("suffix", F.when(F.col("suffix").rlike(r"^[a-z0-9]{2,3}$"), F.col("suffix")))
     langs, logp = _fit(count_trigrams(rows), min_docs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema[k] for k in keys))
     if not langs:
-        return rows.limit(0).select(*keys, F.lit("").alias("lang"), F.lit(0.0).alias("confidence"))
+        return rows.select(*keys, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))
     n = len(langs)
     scored = written(_score(rows, keys, logp, weight), "langid-scored")
     declared, suffix = _evidence(scored, "declared", n), _evidence(scored, "suffix", n)
@@ -172,7 +177,7 @@ def identify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, m
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         ok = (batch.column(width + 2).to_numpy() > 0) & (best < n) & (p.max(axis=1) >= min_confidence)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names[best].astype(object)), pa.array(p.max(axis=1))], names=[*keys, "lang", "confidence"]).filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names[best].astype(object), pa.string(), mask=~ok), pa.array(p.max(axis=1))], names=[*keys, "lang", "confidence"])
 
     return arrow_map(fused.select(*keys, "declared", "suffix", "grams", "ll", "prior"), run, f"{kinds}, lang string, confidence double")
 
