@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: The same for sides that have one integer a row.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,8 +60,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 def without_ids(docs: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key isn't in ``removed`` (a written table with the one column); null keys stay."""
     gone = removed.select(F.col(key).alias("_gone_key")).distinct()
-    return docs.join(sized(gone), docs[key] == F.col("_gone_key"), "left_anti")
+    return docs.join(sized(gone, BROADCAST_IDS), docs[key] == F.col("_gone_key"), "left_anti")
 
 
 def keep_ids(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.join(sized(kept.select(F.col(key).alias("_kept_key")).distinct()), docs[key] == F.col("_kept_key"), "left_semi")
+    return docs.join(sized(kept.select(F.col(key).alias("_kept_key")).distinct(), BROADCAST_IDS), docs[key] == F.col("_kept_key"), "left_semi")
