@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, perplexity, secrets, sharding, simhash, toxicity
+from . import bpe, decontaminate, language_id, perplexity, secrets, sharding, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.accepted(_table(spark, sf_dir, "documents"))
 
