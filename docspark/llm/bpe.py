@@ -33,7 +33,7 @@ from .textkernel import byte_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 128
-KEPT = 400_000
+KEPT = 150_000
 _NONE = np.int64(1) << 62
 
 
@@ -81,8 +81,9 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarra
         elif p:
             groups.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
     for width, at in groups.items():
-        for a in range(0, len(at), 1 << 15):
-            own = at[a : a + (1 << 15)]
+        step = max(64, (1 << 19) // width)
+        for a in range(0, len(at), step):
+            own = at[a : a + step]
             for i, ids in zip(own, _encode_group(vocabulary, [pieces[i] for i in own], width)):
                 out[i] = ids
     return out
@@ -247,7 +248,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
 
     def run(batch):
         encoder = held.setdefault("one", Encoder(v)) if "one" not in held else held["one"]
-        for a, b in byte_batches(batch.column(1), 2 << 20):
+        for a, b in byte_batches(batch.column(1), 1 << 20):
             texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
             ids, counts = encoder.encode(texts)
             back = decode_ids(v, ids, counts)

@@ -75,7 +75,7 @@ def count_ngrams(docs: DataFrame, lang: str, text: str) -> DataFrame:
             names = np.array([x or "" for x in batch.column(0).to_pylist()])
             for name in np.unique(names):
                 own = batch.column(1).filter(pa.array(names == name))
-                for a, b in byte_batches(own, 8 << 20):
+                for a, b in byte_batches(own, 2 << 20):
                     raw, off = byte_view(own.slice(a, b - a))
                     if len(raw):
                         grams = np.sort(packed(raw, off))

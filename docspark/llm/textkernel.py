@@ -60,7 +60,7 @@ def byte_view(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     return raw, offsets - offsets[0]
 
 
-def byte_batches(texts: pa.Array, most: int = 4 << 20):
+def byte_batches(texts: pa.Array, most: int = 1 << 20):
     """Slices (first, last) of the array of about ``most`` bytes each; one long text is one slice."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
