@@ -40,6 +40,7 @@ from .common import arrow_map, checkpointed, written
 from .textkernel import U64, byte_batches, byte_view, mix64, shingles, word_hashes
 
 MINIMA = 32
+TEXT_BITS = 20
 
 
 def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(h):
             continue
         count[a:b] = np.bincount(doc, minlength=m)
-        bits = U64(max(1, int(m - 1).bit_length()))
+        bits = U64(TEXT_BITS)  # the same for all slices: features are the hashes' other bits
         keys = np.unique((doc.astype(U64) << (U64(64) - bits)) | (h >> bits))
         of = (keys >> (U64(64) - bits)).astype(np.int64)
         feature = mix64(keys << bits)

@@ -61,7 +61,7 @@ def byte_view(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
 
 
 def byte_batches(texts: pa.Array, most: int = 1 << 20):
-    """Slices (first, last) of the array of about ``most`` bytes each; one long text is one slice."""
+    """Slices (first, last) of the array of about ``most`` bytes and at most 2**19 texts each; one long text is one slice."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,7 +69,7 @@ def byte_batches(texts: pa.Array, most: int = 1 << 20):
     first = 0
     while first < len(sizes):
         base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + most, "right")))
+        last = min(max(first + 1, int(np.searchsorted(ends, base + most, "right"))), first + (1 << 19))
         yield first, last
         first = last
 
