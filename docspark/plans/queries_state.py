@@ -37,7 +37,10 @@ _update("update_mul", {"$mul": {"o_totalprice": 2}}, "o_totalprice * 2")
 _update("update_min", {"$min": {"o_totalprice": 250000}}, "least(o_totalprice, 250000)")
 _update("update_max", {"$max": {"o_totalprice": 250000}}, "greatest(o_totalprice, 250000)")
 _update("update_replace", {"o_orderstatus": "R"}, "NULL", "'R'")
-_update("update_one", {"$set": {"o_orderstatus": "1"}}, "o_totalprice", "'1'", {"o_orderstatus": "F"}, "o_orderkey = (SELECT min(x.o_orderkey) FROM orders AS x WHERE x.o_orderstatus = 'F')")
+
+@query("update_one", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT min(x.o_orderkey) FROM orders AS x WHERE x.o_orderstatus = 'F') THEN '1' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def _(t):
+    return updates.update_one(_orders(t), {"o_orderstatus": "F"}, {"$set": {"o_orderstatus": "1"}}, key="o_orderkey")
 
 
 @query("update_nested", "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'RISK' ELSE c_mktsegment END AS segment, CASE WHEN c_acctbal < 0 THEN 5 END AS level FROM customer")
