@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import sized, written
 
 MOST_SOURCES = 1000
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 ORACLE = """
 WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat('17:', coalesce(CAST(doc_id AS VARCHAR), ''))), text NULLS FIRST) AS r, count(*) OVER (PARTITION BY source) AS n
@@ -63,10 +63,10 @@ def shard(docs: DataFrame, *, shards: int = 64, seed: int = 17, key: str = "doc_
     if not total:
         return docs.select(*columns, F.lit(0).cast("long").alias("position"), F.lit(0).alias("shard"))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    buckets = min(1 << 16, 1 << math.ceil(math.log2(max(1, most / BUCKET_ROWS))))
-    first = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-    rows = docs.select(*columns, stratum.alias("_stratum"), hashed.alias("_hash"))
-    rows = _rank(rows, ["_stratum"], F.floor(first * buckets / 65536).cast("int"), [F.col("_hash"), F.col(text).asc_nulls_first()], "_rank")
+    buckets = min(1 << 24, 1 << math.ceil(math.log2(max(1, most / BUCKET_ROWS))))
+    first = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
+    rows = docs.select(F.struct(*columns).alias("_row"), stratum.alias("_stratum"), hashed.alias("_hash"))
+    rows = _rank(rows, ["_stratum"], F.floor(first * buckets / (1 << 32)).cast("int"), [F.col("_hash"), F.col(f"_row.{text}").asc_nulls_first()], "_rank")
     rows = rows.join(sized(sizes), F.col("_stratum") == F.col("_s"))
     if strata <= most_sources:
         known = sorted((r["_s"], r["_n"]) for r in sizes.collect())
@@ -80,7 +80,7 @@ def shard(docs: DataFrame, *, shards: int = 64, seed: int = 17, key: str = "doc_
         cuts = max(1, total // BUCKET_ROWS)
         rows = _rank(rows.withColumn("_share", share).withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("_share") * cuts).cast("long"), [F.col("_share"), F.col("_stratum")], "_place")
         rows = rows.withColumn("position", (F.col("_place") - 1).cast("long"))
-    return rows.select(*columns, "position", F.floor(F.col("position") * shards / F.lit(total)).cast("int").alias("shard"))
+    return rows.select("_row.*", "position", F.floor(F.col("position") * shards / F.lit(total)).cast("int").alias("shard"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
