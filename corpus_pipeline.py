@@ -24,13 +24,13 @@ from docspark.llm.common import sized, without_ids, written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language, under that language."""
     columns = docs.columns
-    marked = docs.withColumn("_row_hash", F.xxhash64("text", "lang", "source"))
-    evidence = language_id.document_evidence(docs).withColumn("_row_hash", F.xxhash64("text", "declared", "host"))
-    judged = language_id.classify(evidence.withColumn("_declared", F.col("declared")), ["doc_id", "_row_hash", "_declared"])
-    changes = judged.where(~F.col("lang").eqNullSafe(F.col("_declared"))).select(F.col("doc_id").alias("_id"), F.col("_row_hash").alias("_hash"), F.col("lang").alias("_new"), F.lit(True).alias("_changed")).distinct()
+    marked = docs.withColumn("__row_hash", F.xxhash64("text", "lang", "source"))
+    evidence = language_id.document_evidence(docs).withColumn("__row_hash", F.xxhash64("text", "declared", "host"))
+    judged = language_id.classify(evidence.withColumn("__declared", F.col("declared")), ["doc_id", "__row_hash", "__declared"])
+    changes = judged.where(~F.col("lang").eqNullSafe(F.col("__declared"))).select(F.col("doc_id").alias("__id"), F.col("__row_hash").alias("__hash"), F.col("lang").alias("__new"), F.lit(True).alias("__changed")).distinct()
     changes = sized(written(changes, "language-changes"))
-    out = marked.join(changes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
-    out = out.where(F.col("_changed").isNull() | F.col("_new").isNotNull()).withColumn("lang", F.coalesce("_new", "lang"))
+    out = marked.join(changes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")), "left")
+    out = out.where(F.col("__changed").isNull() | F.col("__new").isNotNull()).withColumn("lang", F.coalesce("__new", "lang"))
     return out.select(*columns)
 
 
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept
     copies = kept.join(repeated, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
-    return without_ids(kept, repeated).unionByName(copies.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy").select(*docs.columns))
+    return without_ids(kept, repeated).unionByName(copies.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,9 +59,5 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 def without_ids(docs: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key isn't in ``removed`` (a written table with the one column); null keys stay."""
-    gone = removed.select(F.col(key).alias("_gone_key")).distinct()
-    return docs.join(sized(gone, BROADCAST_IDS), docs[key] == F.col("_gone_key"), "left_anti")
-
-
-def keep_ids(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.join(sized(kept.select(F.col(key).alias("_kept_key")).distinct(), BROADCAST_IDS), docs[key] == F.col("_kept_key"), "left_semi")
+    gone = sized(removed.select(F.col(key).alias("__gone_key")).distinct(), BROADCAST_IDS)
+    return docs.join(gone, docs[key] == gone["__gone_key"], "left_anti")
