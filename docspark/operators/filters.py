@@ -2,7 +2,8 @@
 
 A filter document such as ``{"age": {"$gte": 30}, "$or": [...]}`` becomes one
 Catalyst expression that is TRUE or FALSE for every row, never NULL, so that
-``$not``, ``$nor`` and ``$nin`` complement exactly.  A field that the schema
+``$not``, ``$nor`` and ``$nin`` complement exactly.  In a WHERE, NULL rejects a
+row as FALSE does; there the conditions stay plain, so that they reach the scan.  A field that the schema
 lacks is a missing field; in typed columns missing and null are the same.
 VARIANT columns are addressed by path and keep the difference.
 
@@ -77,6 +78,11 @@ def sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _no(condition: Column) -> Column:
+    """The complement of a condition whose NULL means FALSE."""
+    return ~sure(condition)
+
+
 def _kind(value: Any) -> str:
     if isinstance(value, bool):
         return "boolean"
@@ -128,30 +134,30 @@ def equals(ref: Ref, value: Any) -> Column:
             return F.lit(True)
         if ref.path is not None:
             found = F.try_variant_get(ref.column, ref.path, "variant")
-            return found.isNull() | sure(F.is_variant_null(found))
+            return found.isNull() | (F.is_variant_null(found))
         return ref.column.isNull()
     if ref.column is None:
         return F.lit(False)
     if ref.path is not None:
         kind = {"number": "double", "string": "string", "boolean": "boolean"}.get(_kind(value))
         if kind is None:
-            return sure(F.to_json(F.try_variant_get(ref.column, ref.path, "variant")) == F.to_json(literal(value)))
+            return (F.to_json(F.try_variant_get(ref.column, ref.path, "variant")) == F.to_json(literal(value)))
         same_type = F.schema_of_variant(F.try_variant_get(ref.column, ref.path, "variant")).rlike({"number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "string": "^STRING", "boolean": "^BOOLEAN"}[_kind(value)])
-        return sure((ref.as_type(kind) == F.lit(value)) & same_type)
+        return ((ref.as_type(kind) == F.lit(value)) & same_type)
     if isinstance(value, (list, tuple)):
         if not isinstance(ref.type, T.ArrayType):
             return F.lit(False)
-        return sure(ref.column == literal(value).cast(ref.type)) if value else sure(F.size(ref.column) == 0)
+        return (ref.column == literal(value).cast(ref.type)) if value else (F.size(ref.column) == 0)
     if isinstance(value, dict):
         if not isinstance(ref.type, T.StructType):
             return F.lit(False)
         return _all([equals(descend(ref, [k]), v) for k, v in value.items()])
     mine, theirs = _type_kind(ref.type), _kind(value)
     if mine == "time" and theirs == "string":
-        return sure(ref.column == F.try_to_timestamp(F.lit(value)).cast(ref.type))
+        return (ref.column == F.try_to_timestamp(F.lit(value)).cast(ref.type))
     if mine != theirs:
         return F.lit(False)
-    return sure(ref.column == F.lit(value))
+    return (ref.column == F.lit(value))
 
 
 def compare(ref: Ref, op: str, value: Any) -> Column:
@@ -169,7 +175,7 @@ def compare(ref: Ref, op: str, value: Any) -> Column:
     test = {"$gt": lambda: left > right, "$gte": lambda: left >= right, "$lt": lambda: left < right, "$lte": lambda: left <= right}[op]()
     if isinstance(ref.type, (T.DoubleType, T.FloatType)):
         test = test & ~F.isnan(ref.column)
-    return sure(test)
+    return (test)
 
 
 def _among(ref: Ref, values: list) -> Column:
@@ -179,11 +185,11 @@ def _among(ref: Ref, values: list) -> Column:
     if isinstance(ref.type, T.ArrayType):
         if not values:
             return F.lit(False)
-        return sure(F.exists(ref.column, lambda x: _any([equals(Ref(x, ref.type.elementType), v) for v in values])))
+        return (F.exists(ref.column, lambda x: _any([equals(Ref(x, ref.type.elementType), v) for v in values])))
     plain = [v for v in values if v is not None and _kind(v) == _type_kind(ref.type)]
     if ref.path is not None:
         return _any([equals(ref, v) for v in values])
-    tests = [sure(ref.column.isin(plain))] if plain else []
+    tests = [(ref.column.isin(plain))] if plain else []
     if None in values:
         tests.append(ref.column.isNull())
     return _any(tests)
@@ -191,7 +197,22 @@ def _among(ref: Ref, values: list) -> Column:
 
 def _holds(ref: Ref, value: Any) -> Column:
     """Some element of the array equals the value."""
-    return sure(F.exists(ref.column, lambda x: equals(Ref(x, ref.type.elementType), value)))
+    return (F.exists(ref.column, lambda x: equals(Ref(x, ref.type.elementType), value)))
+
+
+def _unequal(ref: Ref, value: Any) -> Column:
+    if ref.column is not None and ref.path is None and value is not None and _kind(value) == _type_kind(ref.type) and _kind(value) != "other":
+        return ~ref.column.eqNullSafe(F.lit(value))
+    return _no(equals(ref, value))
+
+
+def _outside(ref: Ref, values: list) -> Column:
+    """Not among the values; null and missing are outside unless listed."""
+    plain = [v for v in values if v is not None and _kind(v) == _type_kind(ref.type)]
+    if ref.column is not None and ref.path is None and _type_kind(ref.type) != "other" and plain:
+        inside = ref.column.isin(plain)
+        return ref.column.isNotNull() & ~inside if None in values else ref.column.isNull() | ~inside
+    return _no(_among(ref, values))
 
 
 def java_regex(pattern: Any, options: str | None) -> str:
@@ -204,7 +225,7 @@ def java_regex(pattern: Any, options: str | None) -> str:
 
 
 def matches(ref: Ref, pattern: Any, options: str | None) -> Column:
-    return F.lit(False) if ref.column is None else sure(_text(ref).rlike(java_regex(pattern, options)))
+    return F.lit(False) if ref.column is None else (_text(ref).rlike(java_regex(pattern, options)))
 
 
 def _all(tests: list[Column]) -> Column:
@@ -245,43 +266,43 @@ def condition(ref: Ref, spec: Any) -> Column:
         if op == "$eq":
             tests.append(equals(ref, value))
         elif op == "$ne":
-            tests.append(~equals(ref, value))
+            tests.append(_unequal(ref, value))
         elif op in ("$gt", "$gte", "$lt", "$lte"):
             tests.append(compare(ref, op, value))
         elif op == "$in":
             tests.append(_among(ref, list(value)))
         elif op == "$nin":
-            tests.append(~_among(ref, list(value)))
+            tests.append(_outside(ref, list(value)))
         elif op == "$exists":
             there = F.lit(False) if ref.column is None else F.try_variant_get(ref.column, ref.path, "variant").isNotNull() if ref.path is not None else ref.column.isNotNull()
             tests.append(there if value else ~there)
         elif op == "$type":
-            tests.append(sure(js_type(ref) == F.lit(value)))
+            tests.append((js_type(ref) == F.lit(value)))
         elif op == "$size":
-            tests.append(sure(F.size(ref.column) == F.lit(value)) if isinstance(ref.type, T.ArrayType) else F.lit(False))
+            tests.append((F.size(ref.column) == F.lit(value)) if isinstance(ref.type, T.ArrayType) else F.lit(False))
         elif op == "$all":
             held = isinstance(ref.type, T.ArrayType) and ref.column is not None
             tests.append((ref.column.isNotNull() & _all([_holds(ref, v) for v in value])) if held else F.lit(False))
         elif op == "$elemMatch":
-            tests.append(sure(F.exists(ref.column, lambda x: element(Ref(x, ref.type.elementType), value))) if isinstance(ref.type, T.ArrayType) else F.lit(False))
+            tests.append((F.exists(ref.column, lambda x: element(Ref(x, ref.type.elementType), value))) if isinstance(ref.type, T.ArrayType) else F.lit(False))
         elif op == "$regex":
             tests.append(matches(ref, value, spec.get("$options", "i")))
         elif op == "$mod":
             divisor, rest = value
             number = None if ref.column is None else ref.as_type("double") if ref.path is not None else ref.column if _type_kind(ref.type) == "number" else ref.column.try_cast("double")
-            tests.append(F.lit(False) if number is None else sure(F.try_mod(number, F.lit(divisor)) == F.lit(rest)))
+            tests.append(F.lit(False) if number is None else (F.try_mod(number, F.lit(divisor)) == F.lit(rest)))
         elif op == "$not":
-            tests.append(~condition(ref, value))
+            tests.append(_no(condition(ref, value)))
         elif op == "$fuzzy":
             most = spec.get("maxDistance", spec.get("$maxDistance", 1))
             wanted = value
             if isinstance(value, dict):
                 wanted, most = value.get("value", value.get("$value")), value.get("maxDistance", most)
-            tests.append(F.lit(False) if ref.column is None else sure(scalars.fuzzy(_text(ref), str(wanted), int(most))))
+            tests.append(F.lit(False) if ref.column is None else (scalars.fuzzy(_text(ref), str(wanted), int(most))))
         elif op == "$soundex":
-            tests.append(F.lit(False) if ref.column is None else sure(scalars.sounds_like(_text(ref), str(value))))
+            tests.append(F.lit(False) if ref.column is None else (scalars.sounds_like(_text(ref), str(value))))
         elif op == "$substr":
-            tests.append(F.lit(False) if ref.column is None else sure(F.lower(_text(ref)).contains(str(value).lower())))
+            tests.append(F.lit(False) if ref.column is None else (F.lower(_text(ref)).contains(str(value).lower())))
         elif op in ("$options", "maxDistance", "$maxDistance"):
             continue
         else:
@@ -292,12 +313,17 @@ def condition(ref: Ref, spec: Any) -> Column:
 def element(ref: Ref, spec: Any) -> Column:
     """An array element against a sub-filter (structs) or a condition (scalars)."""
     if isinstance(ref.type, T.StructType) and isinstance(spec, dict) and not any(k.startswith("$") and k not in ("$and", "$or", "$nor") for k in spec):
-        return compile_filter(spec, ref.type, column=ref.column.getField)
+        return _compile(spec, ref.type, ref.column.getField)
     return condition(ref, spec)
 
 
 def compile_filter(spec: dict, schema: T.StructType, column=F.col) -> Column:
-    """The Column of a filter document over rows of ``schema``."""
+    """The two-valued Column of a filter document over rows of ``schema``."""
+    return sure(_compile(spec, schema, column))
+
+
+def _compile(spec: dict, schema: T.StructType, column=F.col) -> Column:
+    """As ``compile_filter``, with NULL for FALSE in places: enough for a WHERE, and plain enough to reach the scan."""
     if not isinstance(spec, dict):
         raise FilterError("a filter is a document")
     tests = []
@@ -306,10 +332,10 @@ def compile_filter(spec: dict, schema: T.StructType, column=F.col) -> Column:
             if not isinstance(value, (list, tuple)):
                 tests.append(F.lit(False))
                 continue
-            parts = [compile_filter(v, schema, column) for v in value]
-            tests.append(_all(parts) if key == "$and" else _any(parts) if key == "$or" else ~_any(parts))
+            parts = [_compile(v, schema, column) for v in value]
+            tests.append(_all(parts) if key == "$and" else _any(parts) if key == "$or" else _no(_any(parts)))
         elif key == "$not":
-            tests.append(~compile_filter(value, schema, column))
+            tests.append(_no(_compile(value, schema, column)))
         elif key == "$ids":
             tests.append(_among(resolve(schema, "_id", column), list(value)))
         elif key.startswith("$"):
@@ -321,4 +347,4 @@ def compile_filter(spec: dict, schema: T.StructType, column=F.col) -> Column:
 
 def find(df: DataFrame, spec: dict | None = None) -> DataFrame:
     """Rows that match; an empty filter is the whole table, without a limit."""
-    return df.where(compile_filter(spec, df.schema)) if spec else df
+    return df.where(_compile(spec, df.schema)) if spec else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filters import Ref, compile_filter, equals, find, literal, resolve
+from .filters import Ref, compile_filter, equals, find, literal, resolve, sure
 
 
 class UpdateError(ValueError):
@@ -29,9 +29,9 @@ def _unequal(element: Column, kind: T.DataType, value: Any) -> Column:
         hit = F.lit(False)
         for k, v in value.items():
             if k in kind.names:
-                hit = hit | equals(Ref(element.getField(k), kind[k].dataType), v)
+                hit = hit | sure(equals(Ref(element.getField(k), kind[k].dataType), v))
         return ~hit
-    return ~equals(ref, value)
+    return ~sure(equals(ref, value))
 
 
 def changed(ref: Ref, op: str, value: Any, now: Any = None) -> Column:
