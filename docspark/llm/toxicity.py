@@ -13,7 +13,8 @@ Features are the distinct words of a text and their leading bytes (3 to 6),
 as 64-bit hashes: toxic coinages often share a stem.  Those in at least
 ``min_df`` positives are candidates; their frequency is counted over all
 documents, and the model has those of whose documents a share of at least
-``min_purity`` is toxic, going by the prior.
+``min_purity`` is toxic, going by the prior, and that are ``significance``
+standard deviations more frequent among positives than by chance.
 
 The only sampling is of the training rows: at most ``max_positives`` and
 ``max_unlabelled`` distinct texts, the first by a seeded hash.  Counts and
@@ -62,17 +63,17 @@ def _presence(hashes: np.ndarray, doc: np.ndarray, known: np.ndarray):
     return pair // len(known), pair % len(known)
 
 
-def _first_texts(rows: DataFrame, text: str, most: int, seed: int) -> DataFrame:
-    """At most ``most`` distinct texts, the first by a seeded hash: (text)."""
-    order = F.xxhash64(F.lit(seed), text)
-    return rows.where(F.length(text) > 0).groupBy(order.alias("_h")).agg(F.min(text).alias("text")).orderBy("_h").limit(most).select("text")
+def _sample(docs: DataFrame, text: str, most: int, seed: int) -> DataFrame:
+    """At most ``most`` distinct texts, the first by a seeded hash: (text).
 
-
-def _sample(docs: DataFrame, key: str, text: str, most: int, seed: int) -> DataFrame:
-    """As ``_first_texts``, but texts move only for the hashes that are taken."""
-    hashes = docs.where(F.length(text) > 0).select(F.xxhash64(F.lit(seed), text).alias("_h")).distinct().orderBy("_h").limit(most)
-    taken = F.broadcast(hashes)
-    return docs.select(text, F.xxhash64(F.lit(seed), text).alias("_h")).join(taken, "_h", "left_semi").groupBy("_h").agg(F.min(text).alias("text")).select("text")
+    Only hashes below a threshold are sorted, and only the texts of those taken move.
+    """
+    hashed = docs.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(F.lit(seed), text).alias("_h"))
+    n = hashed.count()
+    share = min(1.0, 4 * most / max(1, n))  # as copies are one text, some to spare
+    low = hashed.where(F.col("_h") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True))
+    taken = low.select("_h").distinct().orderBy("_h").limit(most)
+    return low.join(F.broadcast(taken), "_h", "left_semi").groupBy("_h").agg(F.min("text").alias("text")).select("text")
 
 
 def candidate_features(positives: DataFrame, min_df: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -150,8 +151,9 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, max_positives: int = 4000, max_unlabelled: int = 12_000, min_df: int = 8, min_purity: float = 0.5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, max_positives: int = 4000, max_unlabelled: int = 12_000, min_df: int = 5, min_purity: float = 0.5, significance: float = 4.0, decay: float = 5e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(features, weights, bias), or None without positives."""
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_toxic"))
     total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     if not toxic:
@@ -159,15 +161,16 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if prior is None:
         prior = float(np.clip(toxic / total, 0.001, 0.5))
     ids = sized(written(marks.where("_toxic = 1").select("_id"), "toxic-ids"), BROADCAST_IDS)
-    positives = written(_first_texts(docs.join(ids, docs[key] == F.col("_id"), "left_semi"), text, max_positives, seed), "toxic-positives")
+    positives = written(_sample(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"), "text", max_positives, seed), "toxic-positives")
     known, df_p, n_p = candidate_features(positives, min_df)
     if not n_p or not len(known):
         return None
-    df_u, n_u = document_frequency(docs, text, known)
-    chosen = prior * df_p / n_p >= min_purity * df_u / max(1, n_u)
+    df_u, n_u = document_frequency(docs, "text", known)
+    chance = df_u * n_p / max(1, n_u)  # positives with the feature if it had nothing to do with toxicity
+    chosen = (prior * df_p / n_p >= min_purity * df_u / max(1, n_u)) & (df_p >= chance + significance * np.sqrt(chance) + min_df / 2)
     known = known[chosen]
-    unlabelled = written(_sample(docs, key, text, max_unlabelled, seed + 1), "toxic-unlabelled")
-    weights, bias = nnpu(_rows_of(positives, known), _rows_of(unlabelled, known), len(known), prior)
+    unlabelled = written(_sample(docs, "text", max_unlabelled, seed + 1), "toxic-unlabelled")
+    weights, bias = nnpu(_rows_of(positives, known), _rows_of(unlabelled, known), len(known), prior, decay=decay)
     return known, weights, bias
 
 
