@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,22 +36,27 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, *, query_key: str,
     spread = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     qt, vt = (d.schema[c].dataType.simpleString() for d, c in ((q, "q"), (v, "v")))
 
-    def best(_, left, right):
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        lists = table[name].combine_chunks()
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+    def best(left, right):
+        ids, found = right["v"], []
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "v": [], "score": []})
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        a, b = unit(np.stack(left.qv.to_numpy()).astype(np.float64)), unit(np.stack(right.vv.to_numpy()).astype(np.float64))
-        ids, out = right.v.to_numpy(), []
+            return pa.table({"q": left["q"].slice(0, 0), "v": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        a, b = matrix(left, "qv"), matrix(right, "vv")
+        n = min(k, len(b))
         for i in range(0, len(a), 1024):
             s = a[i : i + 1024] @ b.T
-            n = min(k, s.shape[1])
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            out.append(pd.DataFrame({"q": np.repeat(left.q.to_numpy()[i : i + 1024], n), "v": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(out)
+            found.append((np.repeat(np.arange(i, i + len(s)), n), top.ravel(), np.take_along_axis(s, top, 1).ravel()))
+        rows, columns, scores = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"q": left["q"].take(pa.array(rows)), "v": ids.take(pa.array(columns)), "score": pa.array(scores)})
 
     from pyspark.sql import Window
 
-    found = spread.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(best, f"q {qt}, v {vt}, score double")
+    found = spread.groupBy("block").cogroup(v.groupBy("block")).applyInArrow(best, f"q {qt}, v {vt}, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
     return found.withColumn("_r", rank).where(F.col("_r") <= k).select(F.col("q").alias(query_key), F.col("v").alias(key), "score")
 
