@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sized, written
+from .common import BROADCAST_IDS, arrow_map, sized, written
 from .textkernel import _BASE, U64, byte_batches, byte_view, mix64, word_hashes
 
 SHORT_RUN = 2
+#: Contexts up to which the lists of them are broadcast to the documents; more are shuffled.
+BROADCAST_CONTEXTS = 50_000
 SHARD_WORDS = 250_000
 
 
@@ -208,7 +210,11 @@ def _scan(docs: DataFrame, key: str, text: str, length: int, anchor: int) -> Dat
 def _context_words(docs: DataFrame, wanted: DataFrame, key: str, text: str, length: int, anchor: int) -> DataFrame:
     """(key, context, low, high, words) of the wanted contexts (key, context, low, high, start, n; low is the document to read)."""
     lists = written(wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list(F.struct("start", "n", "key", "context", "high")).alias("wanted")), "repeats-wanted")
-    rows = docs.join(sized(lists), docs[key].cast("long") == F.col("_doc")).select("_doc", F.col(text), "wanted")
+    small = wanted.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    if not small:  # only the texts of documents with a wanted context move
+        texts = texts.join(sized(lists.select(F.col("_doc").alias("_id")), BROADCAST_IDS), "_id", "left_semi")
+    rows = texts.join(F.broadcast(lists) if small else lists, F.col("_id") == F.col("_doc")).select("_doc", "_text", "wanted")
 
     def run(batch):
         texts, lists = batch.column(1), batch.column(2)
