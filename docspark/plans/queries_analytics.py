@@ -156,7 +156,7 @@ def _(t):
 
 # --- graphs --------------------------------------------------------------------------------------------------------
 def _edges(t):
-    """Suppliers that share a part they shipped, as a sparse directed graph."""
+    """Suppliers that shipped full lots of the same part: the least to the greatest of each part."""
     one = t("lineitem").where("l_quantity = 50").groupBy("l_partkey").agg(F.min("l_suppkey").alias("src"), F.max("l_suppkey").alias("dst"))
     return one.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
@@ -178,16 +178,16 @@ def _(t):
     return graph.shortest_paths(edges, edges.agg(F.min("src")).first()[0]).select("node", "distance")
 
 
-@query("graph_cycle", "SELECT 2::BIGINT AS node UNION ALL SELECT 4::BIGINT UNION ALL SELECT 7::BIGINT")
+@query("graph_cycle", "SELECT -1::BIGINT AS node UNION ALL SELECT -2::BIGINT UNION ALL SELECT -3::BIGINT")
 def _(t):
     edges = _edges(t).select("src", "dst")
-    back = t.spark.createDataFrame([(2, 4), (4, 7), (7, 2), (9, 9)], "src long, dst long")
-    return graph.nodes_in_cycles(edges.where("src > 1000000000").unionByName(back))
+    back = t.spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-9, -9)], "src long, dst long")
+    return graph.nodes_in_cycles(edges.unionByName(back))
 
 
-@query("graph_unique_edges", "SELECT l_suppkey AS src, l_partkey AS dst, arg_max(l_quantity, l_orderkey * 100 + l_linenumber) AS weight FROM lineitem GROUP BY 1, 2")
+@query("graph_unique_edges", "SELECT l_suppkey AS src, l_partkey AS dst, arg_max(l_quantity, (l_orderkey * 100 + l_linenumber) * 1000 + l_quantity) AS weight FROM lineitem GROUP BY 1, 2")
 def _(t):
-    edges = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    edges = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000 + F.col("l_quantity")).alias("seq"))
     return graph.unique_edges(edges, "seq").select("src", "dst", "weight")
 
 
@@ -211,11 +211,11 @@ def _(t):
 
 
 def _lists(t):
-    a = t("orders").where("o_orderkey < 400").select(F.lit("price").alias("list"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
-    return a.unionByName(t("lineitem").where("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum("l_quantity").alias("score")).select(F.lit("quantity").alias("list"), "doc_id", "score"))
+    a = t("orders").select(F.lit("price").alias("list"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    return a.unionByName(t("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum("l_quantity").alias("score")).select(F.lit("quantity").alias("list"), "doc_id", "score"))
 
 
-LISTS = "(SELECT 'price' AS list, o_orderkey AS doc_id, o_totalprice AS score FROM orders WHERE o_orderkey < 400 UNION ALL SELECT 'quantity', l_orderkey, sum(l_quantity) FROM lineitem WHERE l_orderkey < 400 GROUP BY 2)"
+LISTS = "(SELECT 'price' AS list, o_orderkey AS doc_id, o_totalprice AS score FROM orders UNION ALL SELECT 'quantity', l_orderkey, sum(l_quantity) FROM lineitem GROUP BY 2)"
 
 
 @query("rrf", f"SELECT doc_id, round(sum(1 / (60 + r)), 5) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, doc_id) AS r FROM {LISTS}) GROUP BY 1")
@@ -276,9 +276,9 @@ def _(t):
 
 @query("knn_join", f"""
 SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity({DOUBLES.format(c='a.embedding')}, {DOUBLES.format(c='b.embedding')}) AS s,
-row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity({DOUBLES.format(c='a.embedding')}, {DOUBLES.format(c='b.embedding')}) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0) WHERE r <= 3""")
+row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity({DOUBLES.format(c='a.embedding')}, {DOUBLES.format(c='b.embedding')}) DESC, b.vec_id) AS r FROM embeddings a, embeddings b) WHERE r <= 3""")
 def _(t):
-    queries = t("embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.knn_join(queries, t("embeddings"), 3, query_key="query_id", query_vector="query").withColumn("score", F.round("score", 5))
 
 

@@ -280,9 +280,9 @@ def _(t):
     return privacy.homomorphic_sum(t("customer"), "c_acctbal", "c_custkey", "c_acctbal", KEY).select(F.round("sum", 2).alias("sum"))
 
 
-@query("mask_email", "SELECT c_custkey, 'C' || repeat('*', 16) || right(c_name, 1) || '@example.org' AS masked, '****-****-****-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS card, '********' AS secret FROM customer WHERE c_custkey < 10000")
+@query("mask_email", "SELECT c_custkey, 'C' || repeat('*', 16) || right(c_name, 1) || '@example.org' AS masked, '****-****-****-' || right(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 4) AS card, '********' AS secret FROM customer")
 def _(t):
-    rows = t("customer").where("c_custkey < 10000").select("c_custkey", F.concat("c_name", F.lit("@example.org")).alias("masked"), F.concat(F.lit("4000-0000-0000-"), F.lpad(F.col("c_custkey").cast("string"), 4, "0")).alias("card"), F.lit("x").alias("secret"))
+    rows = t("customer").select("c_custkey", F.concat("c_name", F.lit("@example.org")).alias("masked"), F.concat(F.lit("4000-0000-000"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("card"), F.lit("x").alias("secret"))
     return privacy.mask(rows, {"masked": "email", "card": "card", "secret": "full"})
 
 
@@ -352,11 +352,11 @@ def _(t):
 
 
 def _chained(t):
-    return integrity.chain(t("events").where("user_id < 20"), by=["user_id"], order=["ts", "event_id"], payload=F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
+    return integrity.chain(t("events"), by=["user_id"], order=["ts", "event_id"], payload=F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
 
 
 @query("hash_chain", """
-WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id || '|' || event_type AS payload FROM events WHERE user_id < 20),
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id || '|' || event_type AS payload FROM events),
 c AS (SELECT user_id, seq, sha256(repeat('0', 64) || payload) AS hash FROM e WHERE seq = 0 UNION ALL SELECT e.user_id, e.seq, sha256(c.hash || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)
 SELECT user_id, seq::INTEGER AS seq, hash FROM c""")
 def _(t):
