@@ -73,7 +73,7 @@ def tokens_ascii(c: Column | str) -> Column:
 
 
 #: The stop words of the Unicode tokeniser.
-STOP_WORDS = tuple(sorted("من عن في إلى الى على مع هو هي ما هل أن ان إن او أو لا لم لن قد ثم حتى معلومات".split() + "the a an and or of in on to is for with at by it".split()))
+STOP_WORDS = tuple(sorted(set("a an at in is of on or to and are for the with about".split() + "معلومات إلى الى حتى على أن أو إن ان او ثم عن في قد لا لم لن ما مع من هل هو هي".split())))
 
 
 def tokens_unicode(c: Column | str) -> Column:

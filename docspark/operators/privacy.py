@@ -16,11 +16,11 @@ from ..functions.scalars import col, hmac_sha256
 MODULUS = (1 << 64) - 59
 
 PII = (
-    ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
-    ("phone", r"\+?\d[\d\s-]{8,}\d"),
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("api_key", r"\b(sk-[a-zA-Z0-9]{20,}|Bearer\s+[a-zA-Z0-9._-]+)"),
-    ("credit_card", r"\b(?:\d{4}[- ]?){3}\d{4}\b"),
+    ("email", r"[\w.%+-]+@[A-Za-z\d.-]+\.[A-Za-z]{2,}"),
+    ("phone", r"\+?\d[-\s\d]{8,}\d"),
+    ("ssn", r"\b\d\d\d-\d\d-\d{4}\b"),
+    ("api_key", r"\b(?:Bearer\s+[\w.-]+|sk-[A-Za-z\d]{20,})"),
+    ("credit_card", r"\b\d{4}(?:[ -]?\d{4}){3}\b"),
 )
 
 
