@@ -276,11 +276,15 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     whole = contexts.where("low <> high").select("key", "context", F.lit(0).alias("from"), (F.col("n") + length - 1).cast("int").alias("to"))
     # Windows of short runs against the windows of long runs with their minimiser.
     few = scanned.where(~is_long).join(keys.where("mixed").select("key"), "key").select("key", F.col("hash").alias("window"), "doc_id", "start")
-    inside = written(_windows(words.join(keys.where("mixed").select("key"), "key"), length).join(few, ["key", "window"]).where("doc_id <> low OR doc_id <> high"), "repeats-mixed")
-    reverse = inside.select("key", "context", F.col("at").alias("from"), (F.col("at") + length).cast("int").alias("to")).distinct()
+    inside = written(_windows(words.join(keys.where("mixed").select("key"), "key"), length), "repeats-windows")
+    ends = few.groupBy("key", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    both = inside.groupBy("key", "window").agg(F.min("low").alias("c"), F.max("high").alias("d")).join(ends, ["key", "window"])
+    both = written(both.where(F.least("a", "c") != F.greatest("b", "d")).select("key", "window"), "repeats-mixed")
+    reverse = inside.join(both, ["key", "window"]).select("key", "context", F.col("at").alias("from"), (F.col("at") + length).cast("int").alias("to"))
+    alone = few.join(both, ["key", "window"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
     found = written(whole.unionByName(parts).unionByName(reverse), "repeats-found")
     spans = common.join(found, ["key", "context"]).select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
-    return merge_spans(spans.unionByName(singles).unionByName(inside.select("doc_id", "start", (F.col("start") + length).alias("end"))))
+    return merge_spans(spans.unionByName(singles).unionByName(alone))
 
 
 def _windows(words: DataFrame, length: int) -> DataFrame:
