@@ -185,7 +185,7 @@ def classify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, m
 def document_evidence(docs: DataFrame) -> DataFrame:
     """Evidence of the documents table: the declared language is its ``lang``, the host its ``source``."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    return docs.select("doc_id", "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -194,6 +194,6 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1>|<[^>]*>", " ")
     declared = F.regexp_extract(F.col("html"), r"(?i)<html[^>]*\blang=[\"']?([A-Za-z_-]+)", 1)
     return pages.select(
-        F.lit(None).cast("long").alias("doc_id"), "page_id", text.alias("text"), declared.alias("declared"),
+        "page_id", text.alias("text"), declared.alias("declared"),
         F.regexp_extract(host, r"\.([a-z]{2,3})$", 1).alias("suffix"), F.when(host != "", host).alias("host"), F.when(host != "", F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"),
     )

@@ -40,8 +40,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language_id.document_evidence(_table(spark, sf_dir, "documents")).unionByName(language_id.page_evidence(_table(spark, sf_dir, "pages")))
-    return language_id.identify(rows, ["doc_id", "page_id"])
+    return language_id.identify(language_id.document_evidence(_table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over web pages, with the evidence of markup, address and host."""
+    return language_id.identify(language_id.page_evidence(_table(spark, sf_dir, "pages")), ["page_id"])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "language_id_"))}
 
 
 def oracle_sql() -> dict[str, str]:
