@@ -16,7 +16,7 @@ from ..functions.scalars import col, hmac_sha256
 MODULUS = (1 << 64) - 59
 
 PII = (
-    ("email", r"[\w.%+-]+@[A-Za-z\d.-]+\.[A-Za-z]{2,}"),
+    ("email", r"[\w%+.-]+@(?:[A-Za-z\d-]+\.)+[A-Za-z]{2,}"),
     ("phone", r"\+?\d[-\s\d]{8,}\d"),
     ("ssn", r"\b\d\d\d-\d\d-\d{4}\b"),
     ("api_key", r"\b(?:Bearer\s+[\w.-]+|sk-[A-Za-z\d]{20,})"),
@@ -109,8 +109,9 @@ def mask_email(c: Column | str) -> Column:
 def mask_card(c: Column | str) -> Column:
     c = col(c).cast("string")
     digits = F.regexp_replace(c, r"\D", "")
+    hidden = ("*" * 4 + "-") * 3
     last = F.when(F.length(digits) == 0, "0000").otherwise(F.right(digits, F.lit(4)))
-    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, "****-****-****-****").otherwise(F.concat(F.lit("****-****-****-"), last))
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, hidden + "*" * 4).otherwise(F.concat(F.lit(hidden), last))
 
 
 def mask_phone(c: Column | str) -> Column:

@@ -31,6 +31,7 @@ _INACTIVE = ["inactive", "inactif", "inactivo", "inaktiv", "غير نشط", "م
 _ACTIVE = ["active", "actif", "activo", "aktiv", "نشط", "активный", "活跃", "アクティブ"]
 _VIP = ["vip", "premium", "مميز", "privilège", "exclusivo", "премиум", "高级", "プレミアム"]
 _TOP = ["top", "first", "premiers", "premier", "meilleurs", "meilleur", "erste", "أعلى", "أفضل", "أول", "первые", "前"]
+_COUNTED = ["items", "records", "top", "elements", "premiers"]
 _AMOUNTS = ["purchases", "ordersCount", "count", "age", "price", "salary", "balance", "score", "rating", "cost", "createdAt", "edad", "alter"]
 
 
@@ -84,7 +85,7 @@ def parse(prompt: str, fields: list[str] | None = None) -> Parsed:
     if _has(_VIP, text):
         out.filter["isVIP"] = True
         said.append("isVIP")
-    m = re.search(rf"{_any(_TOP)}\s*(\d+)", text) or re.search(r"(\d+)\s*(?:top|premiers|records|elements|items)", text)
+    m = re.search(rf"{_any(_TOP)}\s*(\d+)", text) or re.search(rf"(\d+)\s*{_any(_COUNTED)}", text)
     if m:
         by = _field(text, known, ["purchases", "salary", "score", "rating", "price", "createdAt"])
         out.sort, out.limit = {by: -1}, int(m[1])

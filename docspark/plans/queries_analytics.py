@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import geo, graph, text, timeseries, vectors
 from .registry import query
 
-# --- scalar functions ----------------------------------------------------------------------------------------------
+# Scalar functions.
 
 
 @query("fn_levenshtein", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS BIGINT) AS d FROM part")
@@ -79,7 +79,7 @@ def _(t):
     return t("events").select("event_id", F.round(scalars.recency(F.col("value")), 9).alias("weight"))
 
 
-# --- time series ---------------------------------------------------------------------------------------------------
+# Time series.
 @query("ts_bucket_5m", """
 SELECT strftime(to_timestamp(b / 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS _id, b AS bucketStart, count(*) AS count, round(avg(value), 6) AS mean, max(value) AS high
 FROM (SELECT *, epoch_ms(ts) // 300000 * 300000 AS b FROM events) GROUP BY b""")
@@ -119,7 +119,7 @@ def _(t):
     return timeseries.rolling(t("events"), "ts", "value", 3_600_000, ["user_id"]).select("event_id", F.round("value_rolling", 6).alias("value_rolling"))
 
 
-# --- geography: positions follow from the keys ---------------------------------------------------------------------
+# Geography: positions follow from the keys.
 def _points(t):
     k = F.col("c_custkey")
     return t("customer").select("c_custkey", ((k * 37) % 36000 / 100.0 - 180).alias("lon"), ((k * 53) % 17000 / 100.0 - 85).alias("lat"))
@@ -154,7 +154,7 @@ def _(t):
     return geo.nearest(_points(t), (30.0, 31.0), 15, tie="c_custkey").select("c_custkey", F.round("distanceKm", 6).alias("distanceKm"))
 
 
-# --- graphs --------------------------------------------------------------------------------------------------------
+# Graphs.
 def _edges(t):
     """Suppliers that shipped full lots of the same part: the least to the greatest of each part."""
     one = t("lineitem").where("l_quantity = 50").groupBy("l_partkey").agg(F.min("l_suppkey").alias("src"), F.max("l_suppkey").alias("dst"))
@@ -191,7 +191,7 @@ def _(t):
     return graph.unique_edges(edges, "seq").select("src", "dst", "weight")
 
 
-# --- text ----------------------------------------------------------------------------------------------------------
+# Text.
 def _bm25_sql(tokens: str, k1: float, terms: list[str], limit: int, digits: int) -> str:
     columns = ", ".join(f"len(list_filter(k, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(terms))
     stats = ", ".join(f"sum((f{i} > 0)::INT) AS d{i}" for i in range(len(terms)))
@@ -244,7 +244,7 @@ def _(t):
     return text.pack_budget(t("conversations"), by=["conv_id"], rank="turn", budget=300)
 
 
-# --- vectors -------------------------------------------------------------------------------------------------------
+# Vectors.
 def _query_vector(t):
     return t("embeddings").where("vec_id = 0").first()["embedding"]
 

@@ -20,7 +20,7 @@ def _items(df):
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-# --- scans ---------------------------------------------------------------------------------------------------------
+# Scans.
 @query("scan_full", "SELECT * FROM orders")
 def _(t):
     return find(t("orders"))
@@ -59,7 +59,7 @@ def _(t):
     return field_presence(t("orders").select("o_orderstatus", "o_totalprice")).select("field", "present")
 
 
-# --- filters -------------------------------------------------------------------------------------------------------
+# Filters.
 def _filter(name: str, table: str, spec, where: str, prepare=None, source: str | None = None):
     @query(name, f"SELECT * FROM {source or table} WHERE {where}")
     def _(t):
@@ -144,7 +144,7 @@ def _(t):
     return find(t("nation"), {"n_name": {"$soundex": "NATION"}})
 
 
-# --- projections, order, paging ------------------------------------------------------------------------------------
+# Projections, order, paging.
 @query("select_inclusive", "SELECT p_partkey, p_name, p_size FROM part")
 def _(t):
     return Collection(t("part"), "p_partkey").find().select("p_name p_size").to_df()
@@ -194,7 +194,7 @@ def _(t):
     return df.where(after(df, "o_totalprice", "o_orderkey", 150000.0, 10)).orderBy("o_totalprice", "o_orderkey").limit(20)
 
 
-# --- pipelines -----------------------------------------------------------------------------------------------------
+# Pipelines.
 @query("group_basic", "SELECT l_returnflag AS _id, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY 1 ORDER BY revenue DESC LIMIT 10")
 def _(t):
     import datetime
@@ -314,7 +314,7 @@ def _(t):
     return out.select("_id", F.round("revenue", 2).alias("revenue"))
 
 
-# --- sets ----------------------------------------------------------------------------------------------------------
+# Sets.
 def _members(t):
     return {"big": find(t("orders"), {"o_totalprice": {"$gte": 200000}}), "small": find(t("orders"), {"o_totalprice": {"$lt": 50000}})}
 
@@ -347,7 +347,7 @@ def _(t):
     return joins.union_ids([find(t("orders"), {"o_totalprice": {"$lt": 2000}}), find(t("lineitem"), {"l_quantity": 50}).select(F.col("l_orderkey").alias("o_orderkey"))], "o_orderkey")
 
 
-# --- languages -----------------------------------------------------------------------------------------------------
+# Languages.
 @query("sql_basic", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 9000 ORDER BY c_acctbal DESC LIMIT 20 OFFSET 5")
 def _(t):
     return sqlfront.execute(t.spark, "SELECT c_custkey, c_acctbal FROM customer_view WHERE c_acctbal >= 9000 ORDER BY c_acctbal DESC LIMIT 20 OFFSET 5", {"customer_view": t("customer")})

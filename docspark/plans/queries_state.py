@@ -23,7 +23,7 @@ def _orders(t):
     return t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-# --- updates -------------------------------------------------------------------------------------------------------
+# Updates.
 def _update(name: str, update: dict, price: str, status: str = "o_orderstatus", spec=None, where: str = "o_totalprice > 200000"):
     @query(name, f"SELECT o_orderkey, CASE WHEN {where} THEN {status} ELSE o_orderstatus END AS o_orderstatus, CASE WHEN {where} THEN {price} ELSE o_totalprice END AS o_totalprice FROM orders")
     def _(t):
@@ -164,7 +164,7 @@ def _(t):
     return schema.validate(t("part").select("p_partkey", F.nullif(F.col("p_size") % 7, F.lit(0)).alias("n")), {"n": {"default": 42, "type": "number"}})
 
 
-# --- history and change --------------------------------------------------------------------------------------------
+# History and change.
 def _versions(t):
     return t("events").select("event_id", "user_id", "ts", "value", (F.col("event_type") == "error").alias("gone"))
 
@@ -251,7 +251,7 @@ def _(t):
     return seen.agg(F.round(F.try_divide(F.sum(F.when(F.col("event_type") == "view", 1.0).otherwise(0.0)), F.count(F.lit(1))), 9).alias("ratio"))
 
 
-# --- privacy and integrity -----------------------------------------------------------------------------------------
+# Privacy and integrity.
 def _hmac_sql(message: str, key: bytes = KEY) -> str:
     block = key.ljust(64, b"\0")
     inner, outer = ("".join(f"{b ^ p:02x}" for b in block) for p in (0x36, 0x5C))
@@ -280,7 +280,7 @@ def _(t):
     return privacy.homomorphic_sum(t("customer"), "c_acctbal", "c_custkey", "c_acctbal", KEY).select(F.round("sum", 2).alias("sum"))
 
 
-@query("mask_email", "SELECT c_custkey, 'C' || repeat('*', 16) || right(c_name, 1) || '@example.org' AS masked, '****-****-****-' || right(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 4) AS card, '********' AS secret FROM customer")
+@query("mask_email", "SELECT c_custkey, 'C' || repeat('*', 16) || right(c_name, 1) || '@example.org' AS masked, repeat(repeat('*', 4) || '-', 3) || right(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 4) AS card, '********' AS secret FROM customer")
 def _(t):
     rows = t("customer").select("c_custkey", F.concat("c_name", F.lit("@example.org")).alias("masked"), F.concat(F.lit("4000-0000-000"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("card"), F.lit("x").alias("secret"))
     return privacy.mask(rows, {"masked": "email", "card": "card", "secret": "full"})
@@ -379,7 +379,7 @@ def _(t):
     return integrity.manifest(t("orders"), key="o_orderkey")
 
 
-# --- sources and sinks ---------------------------------------------------------------------------------------------
+# Sources and sinks.
 def _folder(t, name: str) -> str:
     """A fresh folder: the cluster's shared one, or a local one where none is set."""
     sc = t.spark.sparkContext
@@ -434,7 +434,7 @@ def _(t):
     return readers.generate_users(t.spark, 1000)
 
 
-# --- streams -------------------------------------------------------------------------------------------------------
+# Streams.
 def _stream(t):
     return streams.read_stream(t.spark, f"{t.folder}/events.parquet*", t("events").schema)
 

@@ -112,7 +112,7 @@ def test_random_filters_match_an_evaluator(spark):
             assert r[f"f{k}"] is evaluate(row, s), (row, s)
 
 
-# --- the builder ---------------------------------------------------------------------------------------------------
+# The builder.
 PRODUCTS = [("1", "Laptop Pro", 1200, 4.5), ("2", "Mouse", 25, 4.2), ("3", "Mechanical Keyboard", 90, 4.7), ("4", "USB Cable", 40, 3.9), ("5", "Ergonomic Chair", 350, 4.8)]
 
 
