@@ -26,7 +26,7 @@ def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").cache()
 
 
-# --- kernel --------------------------------------------------------------------------------------------------------
+# Kernel.
 def test_words_and_hashes():
     texts = ["Hello, World! é1", "", None, "hello world", "x" * 5000 + " é1"]
     h, doc, starts, ends = textkernel.word_hashes(*textkernel.byte_view(pa.array(texts)))
@@ -37,7 +37,7 @@ def test_words_and_hashes():
     assert len(s) == 4 and s[0] == s[2]
 
 
-# --- 1: suffix arrays ----------------------------------------------------------------------------------------------
+# 1: suffix arrays.
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=80))
 def test_suffix_array(symbols):
@@ -98,7 +98,7 @@ def test_repeats_on_documents(documents):
     assert got == want and want
 
 
-# --- 2: perplexity -------------------------------------------------------------------------------------------------
+# 2: perplexity.
 def _model(texts):
     raw, off = textkernel.byte_view(pa.array(texts))
     grams, n = np.unique(perplexity.packed(raw, off), return_counts=True)
@@ -135,7 +135,7 @@ def test_bands_reject_noise(spark):
     assert not kept & {1000, 1001, 1002, 2000} and len(kept) >= 290
 
 
-# --- 3: BPE --------------------------------------------------------------------------------------------------------
+# 3: BPE.
 @pytest.fixture(scope="module")
 def encoders():
     import base64
@@ -168,7 +168,7 @@ def test_bpe_documents(documents, encoders):
         assert r.round_trip and r.tokens == encoders[1].encode_ordinary(texts[r.doc_id])
 
 
-# --- 4: secrets ----------------------------------------------------------------------------------------------------
+# 4: secrets.
 def test_secrets():
     novelty = secrets.Novelty(b"configuration connection parameter username password default " * 4)
     found = lambda text: [text[s:e] for s, e, *_ in secrets.judge(text, secrets.candidates(text), novelty, 256, 0.6, 6)]
@@ -188,7 +188,7 @@ def test_secret_scan_finds_every_planted_one(documents):
     assert {(r.doc_id, r.secret) for r in secrets.scan(documents).collect()} == want
 
 
-# --- 5: toxicity ---------------------------------------------------------------------------------------------------
+# 5: toxicity.
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"  # smaller tables have too few positives to hold some out
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -208,7 +208,7 @@ def test_nnpu_separates():
     assert (score(rows(300, 1.0)) > 0).mean() > 0.9 and (score(rows(300, 0.0)) > 0).mean() < 0.05
 
 
-# --- 6: SimHash ----------------------------------------------------------------------------------------------------
+# 6: SimHash.
 def test_distance_histogram_and_allocation():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 256, 400)
@@ -260,7 +260,7 @@ def test_signature_does_not_depend_on_the_batch(documents):
     assert [int(simhash.signatures_of(pa.array([t]))[0][0]) for t in texts[:40]] == whole[:40].tolist()
 
 
-# --- 7: sharding ---------------------------------------------------------------------------------------------------
+# 7: sharding.
 def test_sharding(documents):
     a = {r.doc_id: (r.position, r.shard) for r in sharding.shard(documents, shards=7).collect()}
     b = {r.doc_id: (r.position, r.shard) for r in sharding.shard(documents, shards=7, most_sources=0).collect()}
@@ -271,7 +271,7 @@ def test_sharding(documents):
         assert per.max() - per.min() <= 1
 
 
-# --- 8: language ---------------------------------------------------------------------------------------------------
+# 8: language.
 def test_language_accuracy(spark, documents):
     hidden = documents.withColumn("declared", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
     evidence = hidden.select("doc_id", "text", "declared", F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
@@ -289,7 +289,7 @@ def test_language_evidence_decides_for_short_texts(spark):
     assert got[200] == "en" and got[201] == "de" and 202 not in got
 
 
-# --- 9: decontamination --------------------------------------------------------------------------------------------
+# 9: decontamination.
 def brute_containment(docs, items, k=5, threshold=0.6):
     grams = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
     out = {}
@@ -330,7 +330,7 @@ def test_banding_keeps_recall():
             assert 1 - (1 - j**r) ** (decontaminate.HASHES // r) >= 0.995
 
 
-# --- 10: HTML ------------------------------------------------------------------------------------------------------
+# 10: HTML.
 def test_site_template_is_removed(spark):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(2, 6) for _ in range(n))
