@@ -33,7 +33,7 @@ from .textkernel import byte_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 128
-KEPT = 150_000
+KEPT = 300_000
 _NONE = np.int64(1) << 62
 
 
@@ -69,30 +69,38 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
 
-def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    """Token ids of each piece."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-    groups: dict[int, list[int]] = {}
-    for i, p in enumerate(pieces):
-        if len(p) > LONG:
-            out[i] = _encode_long(vocabulary, p)
-        elif len(p) == 1:
-            out[i] = vocabulary.bytes[[p[0]]].astype(np.int32)
-        elif p:
-            groups.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
-    for width, at in groups.items():
+def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all pieces in some order, and where each piece's ids start and how many they are."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    parts: list[np.ndarray] = []
+    base = 0
+
+    def put(at: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        nonlocal base
+        starts[at], counts[at] = base + np.cumsum(n) - n, n
+        parts.append(flat)
+        base += len(flat)
+
+    single = np.flatnonzero(sizes == 1)
+    put(single, vocabulary.bytes[np.frombuffer(b"".join([pieces[i] for i in single.tolist()]), np.uint8)].astype(np.int32), np.ones(len(single), np.int64))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        ids = _encode_long(vocabulary, pieces[i])
+        put(np.array([i]), ids, np.array([len(ids)]))
+    width = 2
+    while width <= LONG:
+        at = np.flatnonzero((sizes > width // 2) & (sizes <= width) & (sizes > 1))
         step = max(64, (1 << 19) // width)
         for a in range(0, len(at), step):
             own = at[a : a + step]
-            for i, ids in zip(own, _encode_group(vocabulary, [pieces[i] for i in own], width)):
-                out[i] = ids
-    return out
+            put(own, *_encode_group(vocabulary, [pieces[i] for i in own.tolist()], sizes[own], width))
+        width *= 2
+    return np.concatenate(parts), starts, counts
 
 
-def _encode_group(v: Vocabulary, pieces: list[bytes], width: int) -> list[np.ndarray]:
-    """All trees of pieces of at most ``width`` (a power of two) bytes, stepped together."""
+def _encode_group(v: Vocabulary, pieces: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All trees of pieces of at most ``width`` (a power of two) bytes, stepped together: ids and their number by piece."""
     n = len(pieces)
-    lengths = np.array([len(p) for p in pieces])
     padded = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
     token = v.bytes[padded]
     place = np.arange(width)
@@ -137,8 +145,7 @@ def _encode_group(v: Vocabulary, pieces: list[bytes], width: int) -> list[np.nda
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             a, b, c = a >> 1, b >> 1, c >> 1
         rows = rows[tree[rows, 1] < _NONE]
-    flat, counts = token[alive].astype(np.int32), alive.sum(axis=1)
-    return np.split(flat, np.cumsum(counts)[:-1])
+    return token[alive].astype(np.int32), alive.sum(axis=1)
 
 
 def _encode_long(v: Vocabulary, piece: bytes) -> np.ndarray:
@@ -219,13 +226,10 @@ class Encoder:
         index = self.index
         new = [p for p in dict.fromkeys(pieces) if p not in index]
         if new:
-            ids = encode_pieces(self.v, [p.encode("utf8") for p in new])
-            size = np.array([len(x) for x in ids], np.int64)
-            start = len(self.flat) + np.cumsum(size) - size
-            base = len(index)
-            index.update(zip(new, range(base, base + len(new))))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.starts, self.lengths = np.r_[self.starts, start], np.r_[self.lengths, size]
+            flat, start, size = encode_pieces(self.v, [p.encode("utf8") for p in new])
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+            self.starts, self.lengths = np.r_[self.starts, len(self.flat) + start], np.r_[self.lengths, size]
+            self.flat = np.concatenate([self.flat, flat])
         at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
         size = self.lengths[at]
         total = np.r_[0, np.cumsum(size)]
