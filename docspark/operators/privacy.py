@@ -24,6 +24,15 @@ PII = (
 )
 
 
+_MAY_HOLD = {
+    "email": lambda c: c.contains("@"),
+    "phone": lambda c: c.rlike(r"\d[-\s\d]{8}"),
+    "ssn": lambda c: c.rlike(r"\d-\d\d-\d"),
+    "api_key": lambda c: c.contains("sk-") | c.contains("Bearer"),
+    "credit_card": lambda c: c.rlike(r"\d{4}[ -]?\d{4}"),
+}
+
+
 def exact_token(field: str, c: Column | str, key: bytes) -> Column:
     """Equality token of a value: case and outer space don't matter."""
     return hmac_sha256(key, F.concat(F.lit(f"exact:{field}:"), F.lower(F.trim(col(c).cast("string")))))
@@ -128,12 +137,20 @@ def mask(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 def redact(c: Column | str) -> Column:
     """Struct of safe, violations, redacted and originalLength; each pattern sees what the ones before it left."""
     text = F.coalesce(col(c), F.lit(""))
-    running, found = text, []
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("names"))
     for name, pattern in PII:
-        found.append(F.when(running.rlike(pattern), name))
-        running = F.regexp_replace(running, pattern, f"[REDACTED_{name.upper()}]")
-    violations = F.array_compact(F.array(*found))
-    return F.struct((F.size(violations) == 0).alias("safe"), violations.alias("violations"), running.alias("redacted"), F.length(text).alias("originalLength"))
+        state = F.get(F.transform(F.array(state), _redactor(name, pattern)), F.lit(0))  # a lambda evaluates the state once
+    done = F.transform(F.array(state), lambda s: F.struct((F.size(s["names"]) == 0).alias("safe"), s["names"].alias("violations"), s["text"].alias("redacted"), F.length(text).alias("originalLength")))
+    return F.get(done, F.lit(0))
+
+
+def _redactor(name: str, pattern: str):
+    def step(s: Column) -> Column:
+        hit = _MAY_HOLD[name](s["text"]) & s["text"].rlike(pattern)
+        new = F.regexp_replace(s["text"], pattern, f"[REDACTED_{name.upper()}]")
+        return F.when(hit, F.struct(new.alias("text"), F.concat(s["names"], F.array(F.lit(name))).alias("names"))).otherwise(s)
+
+    return step
 
 
 def encrypt(c: Column | str, record: Column | str, field: str, key: Column, iv: Column | None = None) -> Column:
