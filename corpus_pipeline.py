@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("__row_hash", F.xxhash64("text", "lang", "source"))
     evidence = language_id.document_evidence(docs).withColumn("__row_hash", F.xxhash64("text", "declared", "host"))
     judged = language_id.classify(evidence.withColumn("__declared", F.col("declared")), ["doc_id", "__row_hash", "__declared"])
-    changes = judged.where(~F.col("lang").eqNullSafe(F.col("__declared"))).select(F.col("doc_id").alias("__id"), F.col("__row_hash").alias("__hash"), F.col("lang").alias("__new"), F.lit(True).alias("__changed")).distinct()
+    changes = judged.where(F.col("lang").isNull() | ~F.col("lang").eqNullSafe(F.col("__declared"))).select(F.col("doc_id").alias("__id"), F.col("__row_hash").alias("__hash"), F.col("lang").alias("__new"), F.lit(True).alias("__changed")).distinct()
     changes = sized(written(changes, "language-changes"))
     out = marked.join(changes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")), "left")
     out = out.where(F.col("__changed").isNull() | F.col("__new").isNotNull()).withColumn("lang", F.coalesce("__new", "lang"))

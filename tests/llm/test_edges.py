@@ -121,3 +121,13 @@ def test_stages(spark, docs, empty, tmp_path):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
     assert kept.count((5, PROSE)) == 1 and (None, PROSE) in kept and (6, PROSE) not in kept
     assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).where("doc_id = 5").count() == 0
+
+
+def test_language_stage_drops_rejected_documents_without_a_language(spark, docs, tmp_path):
+    more = spark.createDataFrame([(30, "", None, "s0", 0, *EXTRA), (31, "\x01\x02\x03\x04\x05\x06\x07" * 40, None, "s0", 280, *EXTRA), (32, None, None, None, None, *EXTRA), (None, "", None, None, 0, *EXTRA)], SCHEMA)
+    table = docs.unionByName(more)
+    want = language_id.identify(language_id.document_evidence(table), ["doc_id"])
+    out = corpus_pipeline.language(spark, table, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r.doc_id) for r in want.collect())
+    assert not {30, 31, 32} & {r.doc_id for r in out} and {5, 20} <= {r.doc_id for r in out}
+    assert all(r.text and r.lang for r in out)
