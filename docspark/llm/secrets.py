@@ -1,7 +1,8 @@
 """Operator 4: secret scan by dictionary-primed zstandard novelty.
 
 Candidates are values in a sensitive context: assigned to a name such as
-``password``, ``token`` or ``api_key``, or of a known credential shape.  For
+``password``, ``token`` or ``api_key``, or of a known credential shape; a value
+in quotes may hold spaces, and the search goes on right after each name.  For
 each candidate the marginal compressed bytes are measured: what it adds to the text
 around it, under a compressor primed with a dictionary of the identifiers that
 are frequent around all candidates of the corpus.  A value
@@ -44,26 +45,29 @@ _SHAPES = {
 }
 #: RE2 syntax; a text without a match has no candidate.
 PREFILTER = rf"(?i:{_NAME})|" + "|".join(_SHAPES.values()) + "|PRIVATE KEY-----"
-_ASSIGNED = re.compile(rf"(?i:({_NAME}))[\"']?(?:\s*(?:=>|:=|==|=|:)\s*|\s+)(?:(?i:bearer|basic)\s+)?(?:\"([^\"\s]{{8,}})\"|'([^'\s]{{8,}})'|([A-Za-z0-9+/_.~$!@#%^&*-]{{8,}}+={{0,2}}+)(?![\\[(]))")
+_ASSIGNED = re.compile(rf"(?i:({_NAME}))[\"']?(?:\s*(?:=>|:=|==|=|:)\s*|\s+)(?:(?i:bearer|basic)\s+)?(?:\"([^\"\r\n]{{8,}})\"|'([^'\r\n]{{8,}})'|(?!(?i:{_NAME})[\"']?\s*[=:])([A-Za-z0-9+/_.~$!@#%^&*-]{{8,}}+={{0,2}}+)(?![\\[(]))")
+_LABEL = re.compile(rf"(?i:{_NAME})(?:=|[\"']?\s*[=:])")
 _SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _SHAPES.items()) + r")(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:.+?-----END \1PRIVATE KEY-----|[A-Za-z0-9+/=\s]+)", re.S)
 _IDENTIFIER = re.compile(r"\w{3,40}")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the candidates, in order and without overlaps."""
+    """(start, end, kind) of the candidates, in order; of those that overlap the first, and the longest, comes first."""
     found = [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
     found += [(m.start(), m.end(), m.lastgroup) for m in _SHAPED.finditer(text)]
-    for m in _ASSIGNED.finditer(text):
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        at = m.end(1)  # a value may hold, or be, the name of the next one
         g = next(g for g in (2, 3, 4) if m.group(g) is not None)
         # Without an assignment mark the value must mix digits and letters, else prose after "token" is a candidate.
         marked = re.search(r"[=:]", text[m.end(1) : m.start(g)])
         value = m.group(g)
-        if marked or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
+        if marked or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not (g == 4 and any(x.end() >= m.end(4) for x in _LABEL.finditer(text, m.start(4), m.end(4) + 3)))):
             found.append((m.start(g), m.end(g), m.group(1).lower()))
     out: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not out or x[0] >= out[-1][1]:
+        if not out or x[:2] != out[-1][:2]:
             out.append(x)
     return out
 
@@ -73,14 +77,14 @@ def surroundings(text: str, spans: list[tuple[int, int, str]], start: int, end:
     lo, hi = max(0, start - window), min(len(text), end + window)
     parts, at = [], lo
     for s, e, _ in spans:
-        if e <= lo or s >= hi or s == start:
+        if e <= lo or s >= hi or (s, e) == (start, end):
             continue
         parts.append((max(s, lo), min(e, hi)))
     before, after = [], []
     for side, a, b in ((before, lo, start), (after, end, hi)):
         at = a
         for s, e in parts:
-            if a <= s < b:
+            if s < b and e > a:
                 side.append(text[at:s])
                 at = max(at, e)
         side.append(text[at:b])
@@ -141,12 +145,16 @@ def identifier_dictionary(docs: DataFrame, text: str, window: int, size: int) ->
 
 
 def judge(text: str, spans, novelty: Novelty, window: int, min_novelty: float, min_bytes: int):
-    """(start, end, kind, marginal, novelty) of the candidates that are novel."""
+    """(start, end, kind, marginal, novelty) of the candidates that are novel, without overlaps."""
+    last = 0
     for s, e, kind in spans:
+        if s < last:
+            continue
         before, after = surroundings(text, spans, s, e, window)
         n = novelty.marginal(before, text[s:e], after)
         if n >= min_bytes and n / (e - s) >= min_novelty:
             yield s, e, kind, n, n / (e - s)
+            last = e
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 256, min_novelty: float = 0.6, min_bytes: int = 6, dictionary_bytes: int = 32_768) -> DataFrame:

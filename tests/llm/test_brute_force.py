@@ -180,6 +180,18 @@ def test_secrets():
     assert found("the token economy is growing quickly") == [] and found('secret = os.environ["SECRET_KEY"]') == []
 
 
+def test_secrets_after_another_name_and_with_spaces():
+    novelty = secrets.Novelty(b"configuration connection parameter username password default " * 4)
+    found = lambda text: [text[s:e] for s, e, *_ in secrets.judge(text, secrets.candidates(text), novelty, 256, 0.6, 6)]
+    for text, want in {
+        "my token password=9f8e7d6c5b4a3f2e1d": "9f8e7d6c5b4a3f2e1d", "the secret password: hunter2Xk9Qz": "hunter2Xk9Qz", "SECRET access_key = 8fk3jf83kd92": "8fk3jf83kd92", "token: password=9f8e7d6c5b4a3f2e1d": "9f8e7d6c5b4a3f2e1d",
+        "token db2_password=9f8e7d6c5b4a3f2e1d": "9f8e7d6c5b4a3f2e1d", 'password = "correct horse battery 9x"': "correct horse battery 9x", "passphrase: 'four quiet wooden lamps'": "four quiet wooden lamps", 'password = "my password=9f8e7d6c5b4a3f2e1d"': "my password=9f8e7d6c5b4a3f2e1d",
+    }.items():
+        assert found(text) == [want]
+    repeated = "parameter username password default " * 3
+    assert found(f'token = "{repeated}password=9f8e7d6c5b4a3f2e1d"') == ["9f8e7d6c5b4a3f2e1d"]  # within a value that isn't novel
+
+
 def test_secret_scan_finds_every_planted_one(documents):
     want = set()
     for r in documents.collect():
