@@ -9,7 +9,9 @@ are frequent around all candidates of the corpus.  A value
 that repeats its surroundings or is made of known identifiers adds few bytes; a
 random one adds about its own information.  Values with at least
 ``min_novelty`` marginal bytes a character (and ``min_bytes`` in all) are
-reported.
+reported.  zstandard stores under 64 literals as they are, but codes more of
+them by their frequency, down to half a byte a hex digit: of longer values the
+share ``min_novelty`` of what their own alphabet holds is enough.
 
 The dictionary is counted by grouped aggregation over every candidate's
 surroundings in all documents, with the candidates themselves blanked; its size
@@ -23,6 +25,7 @@ columns are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -50,6 +53,8 @@ _LABEL = re.compile(rf"(?i:{_NAME})(?:=|[\"']?\s*[=:])")
 _SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _SHAPES.items()) + r")(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:.+?-----END \1PRIVATE KEY-----|[A-Za-z0-9+/=\s]+)", re.S)
 _IDENTIFIER = re.compile(r"\w{3,40}")
+#: Literals from which zstandard codes them by their frequency, and bytes that a block of them or of matches has besides.
+RAW_LITERALS, OVERHEAD = 64, 16
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -144,6 +149,15 @@ def identifier_dictionary(docs: DataFrame, text: str, window: int, size: int) ->
     return b"".join(reversed(out))
 
 
+def least_novel(value: str, min_novelty: float) -> float:
+    """Marginal bytes from which a value is novel."""
+    n = len(value)
+    if n < RAW_LITERALS:
+        return min_novelty * n
+    information = n * min(1.0, math.log2(len(set(value))) / 8)
+    return min_novelty * min(n, OVERHEAD + information)
+
+
 def judge(text: str, spans, novelty: Novelty, window: int, min_novelty: float, min_bytes: int):
     """(start, end, kind, marginal, novelty) of the candidates that are novel, without overlaps."""
     last = 0
@@ -152,7 +166,7 @@ def judge(text: str, spans, novelty: Novelty, window: int, min_novelty: float, m
             continue
         before, after = surroundings(text, spans, s, e, window)
         n = novelty.marginal(before, text[s:e], after)
-        if n >= min_bytes and n / (e - s) >= min_novelty:
+        if n >= min_bytes and n >= least_novel(text[s:e], min_novelty):
             yield s, e, kind, n, n / (e - s)
             last = e
 

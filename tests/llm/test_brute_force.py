@@ -192,6 +192,18 @@ def test_secrets_after_another_name_and_with_spaces():
     assert found(f'token = "{repeated}password=9f8e7d6c5b4a3f2e1d"') == ["9f8e7d6c5b4a3f2e1d"]  # within a value that isn't novel
 
 
+def test_long_secrets_of_small_alphabets():
+    novelty = secrets.Novelty(b"configuration connection parameter username password default " * 4)
+    found = lambda text: [text[s:e] for s, e, *_ in secrets.judge(text, secrets.candidates(text), novelty, 256, 0.6, 6)]
+    rng = random.Random(3)
+    for alphabet in ("0123456789", "0123456789abcdef", "0123456789ABCDEF-"):
+        for n in (18, 63, 64, 65, 96, 128, 160, 192, 512, 4096, 20_000):
+            value = "".join(rng.choices(alphabet[:-1], k=n - 1)) + alphabet[0]
+            assert found(f"the api_key={value} is set") == [value]
+    for dull in ("xxxx-" * 16, "01" * 50, "0" * 200, "connection_parameter_" * 10, "1234567890" * 20, "0123456789abcdef" * 12, "parameter_username_configuration_" * 3):
+        assert found(f"the api_key={dull} is set") == []
+
+
 def test_secret_scan_finds_every_planted_one(documents):
     want = set()
     for r in documents.collect():
