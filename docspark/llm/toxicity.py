@@ -14,11 +14,14 @@ as 64-bit hashes: toxic coinages often share a stem.  Those in at least
 ``min_df`` positives are candidates; their frequency is counted over all
 documents, and the model has those of whose documents a share of at least
 ``min_purity`` is toxic, going by the prior, and that are ``significance``
-standard deviations more frequent among positives than by chance.
+standard deviations more frequent among positives than by chance.  All these
+counts are of distinct texts: each of n copies counts 1 / n.
 
 The only sampling is of the training rows: at most ``max_positives`` and
 ``max_unlabelled`` distinct texts, the first by a seeded hash.  Counts and
-scores cover all documents.
+scores cover all documents.  A feature of the model that no training positive
+has gets its weight from the counts: alone in a text, it makes the score the log
+odds of its texts' share that is toxic.
 
 Null, empty and wordless texts are never toxic.  Repeated rows get the same
 score, and copies of a text count once in training.  Null keys are scored but
@@ -76,39 +79,50 @@ def _sample(docs: DataFrame, text: str, most: int, seed: int) -> DataFrame:
     return low.join(F.broadcast(taken), "_h", "left_semi").groupBy("_h").agg(F.min("text").alias("text")).select("text")
 
 
+def _weighted(docs: DataFrame, text: str) -> DataFrame:
+    """(text, weight) of the rows with a text: 1 / copies, so that weights add up to distinct texts.  Only hashes are grouped."""
+    hashed = docs.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
+    copies = sized(written(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "toxic-copies"), BROADCAST_IDS)
+    return hashed.join(copies, "_h", "left").select("text", (F.lit(1.0) / F.coalesce("_n", F.lit(1))).alias("weight"))
+
+
 def candidate_features(positives: DataFrame, min_df: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the features of at least ``min_df`` positives, their document counts, and the number of positives."""
+    """Sorted hashes of the features of at least ``min_df`` distinct positives, the counts of these, and the number of positives; rows are (text, weight)."""
 
     def run(batch):
+        weight = batch.column(1).to_numpy()
         for a, b, h, doc in features(batch.column(0)):
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             first = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-            own, n = np.unique(h[first], return_counts=True)
+            own, at = np.unique(h[first], return_inverse=True)
+            n = np.bincount(at, weights=weight[a:b][doc[first]], minlength=len(own))
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["feature", "n"])
 
-    found = arrow_map(positives, run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= min_df).toPandas()
+    n_p = positives.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    found = arrow_map(positives, run, "feature long, n double").groupBy("feature").agg(F.round(F.sum("n")).cast("long").alias("n")).where(F.col("n") >= min_df).toPandas()
     known = found.feature.to_numpy(np.int64).view(U64)
     order = np.argsort(known)
-    return known[order], found.n.to_numpy(np.int64)[order], positives.count()
+    return known[order], found.n.to_numpy(np.int64)[order], round(n_p)
 
 
-def document_frequency(docs: DataFrame, text: str, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents with each known feature, and documents with a text, over all documents."""
+def document_frequency(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct texts with each known feature, and distinct texts with a word, over all rows of (text, weight)."""
 
     def run(batches):
-        total, n = np.zeros(len(known), np.int64), 0
+        total, n = np.zeros(len(known)), 0.0
         for batch in batches:
+            weight = batch.column(1).to_numpy()
             for a, b, h, doc in features(batch.column(0)):
-                _, at = _presence(h, doc, known)
-                total += np.bincount(at, minlength=len(known))
-                n += len(np.unique(doc))
+                own, at = _presence(h, doc, known)
+                total += np.bincount(at, weights=weight[a:b][own], minlength=len(known))
+                n += weight[a:b][np.unique(doc)].sum()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], names=["at", "n"])
 
-    got = docs.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(known) + 1, np.int64)
-    out[got["at"].to_numpy() + 1] = got["n"].to_numpy()
+    out[got["at"].to_numpy() + 1] = np.rint(got["n"].to_numpy())
     return out[1:], int(out[0])
 
 
@@ -161,16 +175,20 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if prior is None:
         prior = float(np.clip(toxic / total, 0.001, 0.5))
     ids = sized(written(marks.where("_toxic = 1").select("_id"), "toxic-ids"), BROADCAST_IDS)
-    positives = written(_sample(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"), "text", max_positives, seed), "toxic-positives")
-    known, df_p, n_p = candidate_features(positives, min_df)
+    marked = written(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text"), "toxic-positives")
+    known, df_p, n_p = candidate_features(_weighted(marked, "text"), min_df)
     if not n_p or not len(known):
         return None
-    df_u, n_u = document_frequency(docs, "text", known)
+    df_u, n_u = document_frequency(_weighted(docs, "text"), known)
     chance = df_u * n_p / max(1, n_u)  # positives with the feature if it had nothing to do with toxicity
     chosen = (prior * df_p / n_p >= min_purity * df_u / max(1, n_u)) & (df_p >= chance + significance * np.sqrt(chance) + min_df / 2)
-    known = known[chosen]
+    known, purity = known[chosen], (prior * df_p[chosen] / n_p) / (df_u[chosen] / max(1, n_u))
     unlabelled = written(_sample(docs, "text", max_unlabelled, seed + 1), "toxic-unlabelled")
-    weights, bias = nnpu(_rows_of(positives, known), _rows_of(unlabelled, known), len(known), prior, decay=decay)
+    positive = _rows_of(written(_sample(marked, "text", max_positives, seed), "toxic-training"), known)
+    weights, bias = nnpu(positive, _rows_of(unlabelled, known), len(known), prior, decay=decay)
+    unseen = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]), minlength=len(known)) == 0
+    share = np.clip(purity[unseen], 0.01, 0.99)
+    weights[unseen] = np.log(share / (1 - share)) - bias
     return known, weights, bias
 
 

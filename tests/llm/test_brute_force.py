@@ -224,6 +224,33 @@ def test_toxicity_held_out(spark):
     assert sum(i in found for i, x in held.items() if x == 0) <= 0.02 * len(held)
 
 
+def _prose(rng, words, *more):
+    return " ".join([*rng.choices(words, k=12), *more])
+
+
+def test_toxicity_counts_positives_beyond_the_training_rows(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("ban", "dor", "fel", "gis", "hut", "jom", "pek", "vaz")]
+    rows = [(i, _prose(rng, words, f"n{i}", "zzugly")) for i in range(600)] + [(600 + i, _prose(rng, words, f"n{i}", "qqvile")) for i in range(12)] + [(1000 + i, _prose(rng, words, f"m{i}")) for i in range(4000)]
+    rows += [(5000, _prose(rng, words, "unseen", "qqvile"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 612)) for i in [*range(612), *range(1000, 5000)]], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic(docs, labels, max_positives=20).collect()}
+    assert set(range(612)) | {5000} <= found and len(found) <= 650
+
+
+def test_toxicity_of_a_copied_text(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("ban", "dor", "fel", "gis", "hut", "jom", "pek", "vaz")]
+    rows = [(i, _prose(rng, words, f"n{i}", "zzugly" if i >= 20 else "qqvile")) for i in range(400)] + [(1000 + i, _prose(rng, words, f"m{i}")) for i in range(3600)]
+    hot = _prose(rng, words, "hot", "qqvile")
+    rows += [(6000 + i, hot) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in [*range(400), *range(1000, 4600)]], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic(docs, labels).collect()}
+    assert set(range(20)) | set(range(6000, 7000)) <= found and not set(range(1000, 4600)) & found
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     rows = lambda n, bad: [np.unique(np.r_[rng.integers(5, 50, 6), rng.integers(0, 5, 2) if b else np.zeros(0, int)]).astype(int) for b in (rng.random(n) < bad)]
