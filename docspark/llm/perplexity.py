@@ -12,7 +12,9 @@ A document's perplexity is that per byte.  Its language's band is
 [median - ``spread`` * sigma(n), median + ``spread`` * sigma(n)] in log
 perplexity, where the median is taken over the language's documents, and
 sigma(n) is a robust spread of documents of about as many bytes (powers of
-two), never under ``floor``.  Repetitive documents fall below the band, noise
+two), drawn down towards that of neighbouring sizes as if by ``strength``
+documents, so that a sparse size isn't its own yardstick, and never under
+``floor``.  Repetitive documents fall below the band, noise
 lands above it; both are rejected.
 
 Null and empty texts are rejected.  A null language is a language of its own.
@@ -205,22 +207,27 @@ def score(docs: DataFrame, folder: str, key: str, lang: str, text: str) -> DataF
     return arrow_map(rows, run, f"doc_id {kinds}, lang string, bytes long, log_perplexity double")
 
 
-def bands(scored: DataFrame, spread: float, floor: float, min_docs: int) -> DataFrame:
+def bands(scored: DataFrame, spread: float, floor: float, min_docs: int, strength: float) -> DataFrame:
     """(band_lang, size, lower, upper): the band of each language and size class."""
     known = scored.where(F.col("log_perplexity").isNotNull()).withColumn("size", F.floor(F.log2(F.greatest("bytes", F.lit(1)))).cast("int")).withColumn("l", F.coalesce("lang", F.lit("")))
     whole = written(known.groupBy("l").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("median"), F.count(F.lit(1)).alias("docs")), "perplexity-medians")
     gap = known.join(sized(whole), "l").withColumn("gap", F.abs(F.col("log_perplexity") - F.col("median")))
-    by = gap.groupBy("l", "size", "median", "docs").agg(F.percentile_approx("gap", 0.5, 10_000).alias("mad"))
-    sigma = F.greatest(F.col("mad") * 1.4826, F.lit(floor))
+    by = written(gap.groupBy("l", "size", "median", "docs").agg(F.percentile_approx("gap", 0.5, 10_000).alias("mad"), F.count(F.lit(1)).alias("n")), "perplexity-classes")
+    other = by.select(F.col("l").alias("other_l"), F.col("size").alias("other_size"), F.col("mad").alias("other_mad"), F.col("n").alias("other_n"))
+    near = F.col("other_n") * F.pow(F.lit(0.25), F.abs(F.col("size") - F.col("other_size")))
+    pairs = by.join(sized(other), (F.col("l") == F.col("other_l")) & (F.col("size") != F.col("other_size")), "left")
+    by = pairs.groupBy("l", "size", "median", "docs", "mad", "n").agg((F.sum(near * F.col("other_mad")) / F.sum(near)).alias("around"))
+    mad = (F.col("n") * F.col("mad") + strength * F.coalesce("around", "mad")) / (F.col("n") + strength)
+    sigma = F.greatest(F.least("mad", mad) * 1.4826, F.lit(floor))
     wide = F.when(F.col("docs") < min_docs, F.lit(float("inf"))).otherwise(spread * sigma)
     return by.select(F.col("l").alias("band_lang"), F.col("size").alias("band_size"), (F.col("median") - wide).alias("lower"), (F.col("median") + wide).alias("upper"))
 
 
-def judge(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", text: str = "text", spread: float = 4.0, floor: float = 0.01, min_docs: int = 50) -> DataFrame:
+def judge(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", text: str = "text", spread: float = 4.0, floor: float = 0.01, min_docs: int = 50, strength: float = 20.0) -> DataFrame:
     """(doc_id, lang, perplexity, lower, upper, keep) of every document."""
     counts = written(count_ngrams(docs, lang, text), "perplexity-counts")
     scored = written(score(docs, fit(counts), key, lang, text), "perplexity-scores")
-    limits = sized(written(bands(scored, spread, floor, min_docs), "perplexity-bands"))
+    limits = sized(written(bands(scored, spread, floor, min_docs, strength), "perplexity-bands"))
     size = F.floor(F.log2(F.greatest("bytes", F.lit(1)))).cast("int")
     out = scored.join(limits, (F.coalesce("lang", F.lit("")) == F.col("band_lang")) & (size == F.col("band_size")), "left")
     keep = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))

@@ -135,6 +135,16 @@ def test_bands_reject_noise(spark):
     assert not kept & {1000, 1001, 1002, 2000} and len(kept) >= 290
 
 
+def test_a_document_alone_in_its_size_can_be_rejected(spark):
+    rng = random.Random(1)
+    syllables = ["ta", "ri", "mo", "len", "sa", "do", "ki"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(120), "xx") for i in range(300)] + [(1000, prose(4000), "xx")]
+    rows += [(2000, "".join(rng.choices("#$%&*+/<>=?@^", k=9000)), "xx"), (2001, "".join(rng.choices("ABC0123456789", k=30)), "xx")]
+    kept = {r.doc_id for r in perplexity.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept & {2000, 2001} and 1000 in kept and len(kept) >= 290
+
+
 # 3: BPE.
 @pytest.fixture(scope="module")
 def encoders():
