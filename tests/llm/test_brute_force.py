@@ -114,11 +114,95 @@ def test_kneser_ney_sums_to_one():
         assert math.isclose(p.sum(), 1.0, abs_tol=1e-9) and (p > 0).all()
 
 
-def test_counts_and_scores(documents):
+def brute_model(texts):
+    """A function of (context, byte) -> probability: interpolated modified Kneser-Ney from dictionaries."""
+    counts = {}
+    for text in texts:
+        body = b"\0" * 4 + text.encode()
+        for j in range(4, len(body)):
+            counts[body[j - 4 : j + 1]] = counts.get(body[j - 4 : j + 1], 0) + 1
+    levels = {5: counts}
+    for n in (4, 3, 2, 1):
+        levels[n] = {}
+        for gram in levels[n + 1]:
+            levels[n][gram[1:]] = levels[n].get(gram[1:], 0) + 1
+    discounts, totals, kinds = {}, {}, {}
+    for n, own in levels.items():
+        n1, n2, n3, n4 = (max(1, sum(c == k for c in own.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[n] = [0] + [min(max(k - (k + 1) * y * b / a, 0.05), top) for k, a, b, top in ((1, n1, n2, 0.95), (2, n2, n3, 1.9), (3, n3, n4, 2.85))]
+        for gram, c in own.items():
+            totals[gram[:-1], n] = totals.get((gram[:-1], n), 0) + c
+            kinds[gram[:-1], n] = kinds.get((gram[:-1], n), 0) + discounts[n][min(c, 3)]
+
+    def p(context, byte, n=5):
+        if n == 0:
+            return 1 / 256
+        context = context[len(context) - n + 1 :]
+        below = p(context, byte, n - 1)
+        if (context, n) not in totals:
+            return below
+        c = levels[n].get(context + byte, 0)
+        return (c - discounts[n][min(c, 3)] + kinds[context, n] * below) / totals[context, n]
+
+    return p
+
+
+def brute_log_perplexity(p, text):
+    body = b"\0" * 4 + text.encode()
+    return -sum(math.log(p(body[j - 4 : j], body[j : j + 1])) for j in range(4, len(body))) / (len(body) - 4)
+
+
+def brute_bands(rows, strength=20.0, floor=0.01):
+    """rows: (lang, bytes, log perplexity) -> {(lang, size): (median, sigma)}; medians as percentile_approx takes them."""
+    low = lambda xs: sorted(xs)[max(0, math.ceil(len(xs) / 2) - 1)]
+    out = {}
+    for lang in {r[0] for r in rows}:
+        own = [(r[1].bit_length() - 1, r[2]) for r in rows if r[0] == lang]
+        median = low([x for _, x in own])
+        gaps = {}
+        for size, x in own:
+            gaps.setdefault(size, []).append(abs(x - median))
+        mads = {size: (low(g), len(g)) for size, g in gaps.items()}
+        for size, (mad, n) in mads.items():
+            near = [(m, k * 0.25 ** abs(size - o)) for o, (m, k) in mads.items() if o != size]
+            around = sum(m * w for m, w in near) / sum(w for _, w in near) if near else mad
+            sigma = max(min(mad, (n * mad + strength * around) / (n + strength)) * 1.4826, floor) * math.sqrt(1 + strength / len(own))
+            out[lang, size] = median, sigma
+    return out
+
+
+def test_scores_and_bands_match_brute_force(spark):
+    rng = random.Random(7)
+    syllables = {"xx": ["ta", "ri", "mo", "len", "sa"], "yy": ["Ku", "ze", "po", "gam"], None: ["ib", "ux"]}
+    rows = []
+    for i in range(180):
+        lang = rng.choice(["xx", "xx", "yy", None])
+        rows.append((i, " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(rng.choice([3, 12, 40]))), lang))
+    rows += [(900, "%%$$ %$%%$ $$%", "xx"), (901, "ta" * 60, "xx"), (902, "", "xx"), (903, None, "yy")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = {r[0] for r in rows if r[1]}
+    for i in range(3):
+        models = {k: brute_model([r[1] for r in rows if r[0] in counted and (r[2] or "") == k]) for k in ("xx", "yy", "")}
+        scored = {r[0]: (r[2] or "", len(r[1].encode()), brute_log_perplexity(models[r[2] or ""], r[1])) for r in rows if r[1]}
+        bands = brute_bands(list(scored.values()))
+        inside = lambda x, k: abs(x[2] - bands[x[0], x[1].bit_length() - 1][0]) <= k * bands[x[0], x[1].bit_length() - 1][1]
+        if i < 2:
+            counted = {i for i, x in scored.items() if inside(x, 2.0)}
+    judged = {r.doc_id: r for r in perplexity.judge(table).collect()}
+    assert len(judged) == len(rows) and not judged[902].keep and not judged[903].keep
+    for i, x in scored.items():
+        assert math.isclose(math.log(judged[i].perplexity), x[2], rel_tol=1e-9)
+        median, sigma = bands[x[0], x[1].bit_length() - 1]
+        assert math.isclose(math.log(judged[i].lower), median - 5 * sigma, rel_tol=1e-9, abs_tol=1e-9) and judged[i].keep == inside(x, 5.0)
+    assert not judged[900].keep and not judged[901].keep
+
+
+def test_counts(documents):
     counts = {(r.lang, r.gram): r.n for r in perplexity.count_ngrams(documents, "lang", "text").collect()}
     want = {}
     for r in documents.collect():
-        body = b"\0\0\0\0" + r.text.lower().encode()
+        body = b"\0\0\0\0" + r.text.encode()
         for j in range(len(body) - 4):
             key = (r.lang, int.from_bytes(body[j : j + 5], "big"))
             want[key] = want.get(key, 0) + 1
@@ -127,10 +211,10 @@ def test_counts_and_scores(documents):
 
 def test_bands_reject_noise(spark):
     rng = random.Random(1)
-    syllables = ["ta", "ri", "mo", "len", "sa", "do", "ki"]
-    prose = lambda: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(120))
+    vocabulary = ["the", *("".join(rng.choices(["ta", "ri", "mo", "len", "sa", "do", "ki"], k=rng.randint(1, 4))) for _ in range(80))]
+    prose = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(81)], k=150))
     rows = [(i, prose(), "xx") for i in range(300)]
-    rows += [(1000 + i, "".join(rng.choices("#$%&*+/<>=?@^", k=700)), "xx") for i in range(3)] + [(2000, "ta " * 250, "xx")]
+    rows += [(1000 + i, "".join(rng.choices("#$%&*+/<>=?@^", k=700)), "xx") for i in range(3)] + [(2000, "the " * 250, "xx")]
     kept = {r.doc_id for r in perplexity.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not kept & {1000, 1001, 1002, 2000} and len(kept) >= 290
 
