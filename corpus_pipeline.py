@@ -7,14 +7,15 @@ All but the last stage return the columns of documents.
 SQL can't express the SimHash, MinHash and zstandard stages, so there is no
 oracle; the tests hold each stage against a brute-force version.
 
-Rows with a null doc_id can't be named by an operator's report: near-dedup and
-decontamination keep them; the other stages judge them like any row.  Rows that
-repeat both doc_id and text count as copies, of which near-dedup keeps one.
+Stages judge rows, not ids: of rows that share a doc_id only those go whose own
+text is a near duplicate or holds an item.  Rows without a doc_id are judged
+like any other.  Rows that repeat both doc_id and text count as copies, of which
+near-dedup keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import bpe, decontaminate, language_id, secrets, simhash
@@ -34,22 +35,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a ``__key``, equal for rows of equal doc_id and text only, and the keys that several rows have.
+
+    The key is the doc_id where all its rows have one text; else, and without a doc_id, a hash of doc_id and text above
+    2**62.  A hash that stands for different rows is told by a second one; such rows have no key and are never removed.
+    """
+    hashed = docs.withColumn("__text", F.xxhash64("text", F.lit(1)))
+    several = hashed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), (F.min("__text") != F.max("__text")).alias("__mixed")).where("__n > 1")
+    several = written(several, "pipeline-repeated-ids")
+    mixed = sized(several.where("__mixed").select("__id", F.lit(True).alias("__differs")))
+    own = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    rows = hashed.join(mixed, F.col("doc_id") == F.col("__id"), "left")
+    rows = rows.withColumn("__key", F.when(F.col("doc_id").isNull() | F.col("__differs"), own).otherwise(F.col("doc_id").cast("long"))).drop("__id", "__differs")
+    made = rows.where(F.col("__key") >= 1 << 62).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)), "__text")).alias("__a"), F.max(F.struct(F.coalesce("doc_id", F.lit(-1)), "__text")).alias("__b")).where("__n > 1")
+    made = written(made.select("__key", (F.col("__a") != F.col("__b")).alias("__clash")), "pipeline-repeated-rows")
+    clash = sized(made.where("__clash").select(F.col("__key").alias("__clash_key")))
+    rows = rows.join(clash, F.col("__key") == F.col("__clash_key"), "left").withColumn("__key", F.when(F.col("__clash_key").isNull(), F.col("__key"))).drop("__clash_key", "__text")
+    repeated = several.where(~F.col("__mixed")).select(F.col("__id").cast("long").alias("__key")).unionByName(made.where(~F.col("__clash")).select("__key"))
+    return rows, repeated
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, and every document without near duplicates."""
-    removed = written(simhash.near_duplicates(docs).where(~F.col("keep")).select("doc_id"), "dedup-removed")
-    kept = without_ids(docs, removed)
-    repeated = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
+    rows, repeated = keyed(docs)
+    removed = written(simhash.near_duplicates(rows, key="__key").where(~F.col("keep")).select(F.col("doc_id").alias("__key")), "dedup-removed")
+    kept = without_ids(rows, removed, "__key")
     if repeated.isEmpty():
-        return kept
-    copies = kept.join(repeated, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
-    return without_ids(kept, repeated).unionByName(copies.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy").select(*docs.columns))
+        return kept.select(*docs.columns)
+    repeated = sized(written(repeated, "dedup-repeated"))
+    copies = kept.join(repeated, "__key", "left_semi")
+    one = copies.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.struct("lang", "source", "n_chars")).alias("__row")).select("__row.*")
+    return kept.join(repeated, "__key", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, written(found.select("doc_id").distinct(), "contaminated"))
+    rows, _ = keyed(docs)
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__key")
+    return without_ids(rows, written(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated"), "__key").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

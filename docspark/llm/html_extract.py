@@ -13,13 +13,18 @@ more or fewer paragraphs share a style.
 * An element's importance is (1 - g^l) * own + g^l * that of its styles, with
   l styles; a style's is the mean of its children's, weighted by pages.
 * Branches in which no node reaches an importance of ``least`` are removed from
-  each page, and the text of the rest is returned, a line per block.
+  each page, and the text of the rest is returned, a line per block.  On a host
+  of m pages all importances are drawn towards 1 by the weight of ``strength``
+  pages, as what a few pages share may well be content.
 
 Counts are grouped aggregations over all pages; one task a host combines the
 aggregated nodes (not pages), and only the tops of removed branches are joined
-back.  Hosts with fewer than ``min_pages`` pages, and pages without a host,
-lose nothing.  Scripts, styles and comments are never text.  Unclosed and stray
-tags are repaired as browsers do for paragraphs, list items and table cells.
+back.  Pages without a host lose nothing.  Scripts, styles and comments are
+never text: a script reaches to its own end tag whatever is in it, an unclosed
+one to the end of the page.  A tag ends at the first ``>`` outside quotes, or at
+the first at all where quotes don't close; without any it is text.  Pages are
+read in linear time.  Unclosed and stray tags are repaired as browsers do for
+paragraphs, list items and table cells.
 
 Null and empty HTML gives the empty text.  Rows with a null key, and repeated
 rows, are extracted row by row (repeated rows count as pages).  Extra columns
@@ -40,20 +45,71 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, sized, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style noscript template iframe svg".split())
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
 _CLOSES = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _LISTS = frozenset("ul ol table dl select body article section div".split())
 _PARAGRAPH_ENDS = _BLOCK - {"p", "br", "body", "html", "head", "title"}
 
 
+def tokens(text: str):
+    """(start, end, closing, tag, attributes) of all tags, comments and declarations (tag ''), in linear time."""
+    last = {c: text.rfind(c) for c in ">\"'"}
+    quotes, at, ended = True, 0, set()
+
+    def upto(mark: str, start: int) -> int:
+        """The end of the next mark, or that of the text; a mark that isn't found once isn't looked for again."""
+        found = -1 if mark in ended else text.find(mark, start)
+        if found < 0:
+            ended.add(mark)
+        return found + len(mark) if found >= 0 else len(text)
+
+    while (start := text.find("<", at)) >= 0:
+        if text.startswith("<!--", start):
+            at = upto("-->", start + 4)
+            yield start, at, "", "", ""
+            continue
+        if text.startswith("<![CDATA[", start):
+            at = upto("]]>", start + 9)
+            yield start, at, "", "", ""
+            continue
+        if start > last[">"]:
+            return
+        if text[start + 1 : start + 2] in ("!", "?"):
+            at = text.find(">", start) + 1
+            yield start, at, "", "", ""
+            continue
+        name = _NAME.match(text, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end, place = -1, name.end()
+        while quotes and (m := _MARK.search(text, place)):
+            if m.group() == ">":
+                end = m.end()
+                break
+            if m.start() >= last[m.group()]:
+                break
+            place = text.find(m.group(), m.end()) + 1
+        else:
+            quotes = False  # no end outside quotes from here on
+        if end < 0:
+            end = text.find(">", name.end()) + 1
+        at = yield start, end, name.group(1), name.group(2).lower(), text[name.end() : end - 1]
+        at = at or end
+
+
 def parse(text: str):
     """Tags, parents, texts and links of the nodes of a page, in document order; node 0 is the root, text nodes have tag ''."""
     tags, parents, texts, links = ["#root"], [-1], [""], [""]
     stack, at = [0], 0
+    opened: dict[str, int] = defaultdict(int)
+    unclosed: set[str] = set()
 
     def add(tag: str, content: str = "", link: str = "") -> int:
         tags.append(tag)
@@ -67,43 +123,56 @@ def parse(text: str):
         if content:
             add("", content, links[stack[-1]] if tags[stack[-1]] == "a" else "")
 
-    raw_until = None
-    for m in _TOKEN.finditer(text):
-        closing, tag = m.group(1), m.group(2)
-        if raw_until:
-            if tag and closing and tag.lower() == raw_until:
-                raw_until, at = None, m.end()
-            continue
-        if m.start() > at:
-            put(text[at : m.start()])
-        at = m.end()
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[tags[node]] -= 1
+        del stack[depth:]
+
+    scan = tokens(text)
+    token = next(scan, None)
+    while token:
+        start, end, closing, tag, attributes = token
+        jump = None
+        if start > at:
+            put(text[at:start])
+        at = end
+        alone = attributes.rstrip().endswith("/")
         if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
-            continue
-        ends = _CLOSES.get(tag, ()) or (("p",) if tag in _PARAGRAPH_ENDS else ())
-        for depth in range(len(stack) - 1, 0, -1):
-            if tags[stack[depth]] in ends:
-                del stack[depth:]
-                break
-            if tags[stack[depth]] in _LISTS:
-                break
-        link = ""
-        if tag in ("a", "img"):
-            found = _ATTRIBUTE.search(m.group(3))
-            link = next((g for g in found.groups()[1:] if g is not None), "") if found else ""
-        if tag in _RAW:
-            raw_until = None if m.group(3).rstrip().endswith("/") else tag
-            continue
-        node = add(tag, "", link)
-        if tag not in _VOID and not m.group(3).rstrip().endswith("/"):
-            stack.append(node)
-    if not raw_until and at < len(text):
+            pass
+        elif closing:
+            if opened[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == tag))
+        else:
+            ends = _CLOSES.get(tag, ()) or (("p",) if tag in _PARAGRAPH_ENDS else ())
+            if any(opened[t] for t in ends):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if tags[stack[depth]] in ends:
+                        close(depth)
+                        break
+                    if tags[stack[depth]] in _LISTS:
+                        break
+            link = ""
+            if tag in ("a", "img"):
+                found = _ATTRIBUTE.search(attributes)
+                link = next((g for g in found.groups()[1:] if g is not None), "") if found else ""
+            if tag in _RAW and not alone:
+                raw = None if tag in unclosed else _RAW_ENDS[tag].search(text, end)
+                if raw:
+                    jump = at = raw.end()
+                elif tag in ("script", "style"):
+                    return tags, parents, texts, links
+                else:  # an unclosed one is left out, not what follows it
+                    unclosed.add(tag)
+            elif tag not in _RAW:
+                node = add(tag, "", link)
+                if tag not in _VOID and not alone:
+                    stack.append(node)
+                    opened[tag] += 1
+        try:
+            token = scan.send(jump)
+        except StopIteration:
+            token = None
+    if at < len(text):
         put(text[at:])
     return tags, parents, texts, links
 
@@ -221,7 +290,12 @@ def noisy(nodes: list[dict], value: dict[int, float], least: float) -> set[int]:
     return {n for n in value if n not in kept}
 
 
-def unimportant(pages: DataFrame, least: float, gamma: float, min_pages: int) -> DataFrame:
+def host_bound(least: float, pages: int, strength: float) -> float:
+    """The importance that is ``least`` when drawn towards 1 by the weight of ``strength`` pages."""
+    return 1 - (1 - least) * (pages + strength) / pages
+
+
+def unimportant(pages: DataFrame, least: float, gamma: float, strength: float) -> DataFrame:
     """(host, removed): the tops of the branches to remove on each host; pages has (host, html)."""
     observed = _observe(pages)
     style, feature = F.col("kind") == 0, F.col("kind") == 1
@@ -236,8 +310,9 @@ def unimportant(pages: DataFrame, least: float, gamma: float, min_pages: int) ->
             x["styles"] = [(s["value"], s["n"]) for s in x["styles"]]
         root = next((x for x in rows if x["style"] == 0), None)
         removed: list[int] = []
-        if root and root["pages"] >= min_pages:
-            low = noisy(rows, importances(rows, gamma), least)
+        bound = root and host_bound(least, root["pages"], strength)
+        if root and bound > 0:
+            low = noisy(rows, importances(rows, gamma), bound)
             removed = sorted(x["node"] for x in rows if x["node"] in low and x["parent"] not in low)
         return pa.table({"host": pa.array([key[0].as_py()]), "removed": pa.array([removed], pa.list_(pa.int64()))})
 
@@ -265,11 +340,11 @@ def page_text(tags: list[str], parents: list[int], texts: list[str], dropped: li
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: float = 0.65, gamma: float = 0.9, min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: float = 0.65, gamma: float = 0.9, strength: float = 8.0) -> DataFrame:
     """(page_id, text, removed): the main text of every page, and the number of branches removed from it."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col(key).alias("page_id"), F.when(host != "", host).alias("host"), F.col(html).alias("html"))
-    removed = written(unimportant(rows.where(F.col("host").isNotNull()).select("host", "html"), least, gamma, min_pages), "style-trees")
+    removed = written(unimportant(rows.where(F.col("host").isNotNull()).select("host", "html"), least, gamma, strength), "style-trees")
     nodes = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
     removed = removed.withColumnRenamed("host", "_host")
     joined = rows.join(sized(removed) if nodes <= 1_000_000 else removed, F.col("host") == F.col("_host"), "left").select("page_id", "removed", "html")

@@ -3,7 +3,9 @@
 Four kinds of evidence are multiplied for each row and each language:
 
 * the text, under a byte-trigram model per language.  The counts are taken over
-  all rows that declare the language, in one grouped aggregation;
+  all rows that declare the language, in one grouped aggregation, and smoothed
+  with the whole corpus's as if by ``smoothing`` trigrams.  However few rows
+  declare a language, it has a model;
 * the language the markup declares, under P(declared | language);
 * the suffix of the address, under P(suffix | language);
 * the host, under a prior that backs off host -> domain -> whole corpus
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +51,17 @@ def _trigrams(raw: np.ndarray, offsets: np.ndarray):
 
 
 def count_trigrams(rows: DataFrame) -> DataFrame:
-    """(declared, bucket, n): trigram counts per declared language; bucket -1 counts the rows."""
+    """(declared, bucket, n): trigram counts per declared language."""
 
     def run(batches):
         tables: dict[str, np.ndarray] = {}
+
+        def flush():
+            for name, t in tables.items():
+                at = np.flatnonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(t[at])], names=["declared", "bucket", "n"])
+            tables.clear()
+
         for batch in batches:
             langs = np.array([x or "" for x in batch.column(0).to_pylist()])
             texts = batch.column(1)
@@ -59,44 +70,57 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
                 grams, doc = _trigrams(raw, off)
                 names, code = np.unique(langs[a:b], return_inverse=True)
                 hist = np.bincount(code[doc] * BUCKETS + grams, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for j, name in enumerate(names):
+                for name, own in zip(names, hist):
                     if name:
-                        t = tables.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                        t[:BUCKETS] += hist[j]
-                        t[BUCKETS] += int((code == j).sum())
-        for name, t in tables.items():
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(t[at])], names=["declared", "bucket", "n"]
-            )
+                        tables[name] = tables[name] + own if name in tables else own.copy()
+            if len(tables) > 200:
+                yield from flush()
+        yield from flush()
 
     parts = rows.select("declared", "text").mapInArrow(run, "declared string, bucket int, n long")
     return parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _fit(counts: DataFrame, min_docs: int):
-    """Languages and their log-probability table; its size is bounded by the number of declared languages."""
-    table = counts.toPandas()
-    if not len(table):
-        return [], np.zeros((0, BUCKETS), np.float32)
-    enough = table[(table.bucket == -1) & (table.n >= min_docs)].declared
-    langs = sorted(enough)
-    logp = np.zeros((len(langs), BUCKETS), np.float64)
-    for j, name in enumerate(langs):
-        own = table[(table.declared == name) & (table.bucket >= 0)]
-        logp[j, own.bucket.to_numpy()] = own.n.to_numpy()
-        logp[j] = np.log((logp[j] + 0.1) / (logp[j].sum() + 0.1 * BUCKETS))
-    return langs, logp.astype(np.float32)
+def _fit(counts: DataFrame, smoothing: float) -> tuple[list[str], str]:
+    """The languages, sorted, and the folder of their tables of log probabilities, each made by a task of its own."""
+    counts = written(counts, "langid-counts")
+    corpus = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row a bucket at most
+    share = np.full(BUCKETS, 0.1)
+    share[corpus.bucket.to_numpy()] += corpus.n.to_numpy()
+    share *= smoothing / share.sum()
+
+    def run(key, table):
+        n = np.full(BUCKETS, 0.1)
+        n[table["bucket"].to_numpy()] += table["n"].to_numpy()
+        n += share
+        return pa.table({"declared": [key[0].as_py()], "table": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    tables = written(counts.groupBy("declared").applyInArrow(run, "declared string, table binary"), "langid-tables")
+    files = tables.inputFiles()
+    return sorted(r.declared for r in tables.select("declared").collect()), files[0].rpartition("/")[0] if files else ""
+
+
+_loaded: dict[str, list[np.ndarray]] = {}
+
+
+def _tables(folder: str) -> list[np.ndarray]:
+    """The tables in a folder, in order of the languages; each worker process reads them once."""
+    if folder not in _loaded:
+        _loaded.clear()
+        fs, path = pafs.FileSystem.from_uri(folder)
+        rows = pads.dataset(path, filesystem=fs, format="parquet").to_table().sort_by("declared")
+        _loaded[folder] = [np.frombuffer(x.as_buffer(), np.float32) for x in rows["table"]]
+    return _loaded[folder]
 
 
-def _score(rows: DataFrame, keys: list[str], logp: np.ndarray, weight: float) -> DataFrame:
+def _score(rows: DataFrame, keys: list[str], folder: str, weight: float) -> DataFrame:
     """Keys, evidence columns, and the weighted log likelihood of the text under each language and then ``und``."""
     fields = [rows.schema[k] for k in [*keys, "declared", "suffix", "host", "domain"]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", grams long, ll array<double>, best int"
     width = len(fields)
-    tables = [np.ascontiguousarray(x) for x in logp]
 
     def run(batch):
+        tables = _tables(folder)
         texts = batch.column(width)
         for a, b in byte_batches(texts):
             raw, off = byte_view(texts.slice(a, b - a))
@@ -146,16 +170,16 @@ def identify(rows: DataFrame, keys: list[str], **options) -> DataFrame:
     return classify(rows, keys, **options).where(F.col("lang").isNotNull())
 
 
-def classify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, min_docs: int = 5, weight: float = 0.3, strength: float = 20.0, und_prior: float = 1e-3) -> DataFrame:
+def classify(rows: DataFrame, keys: list[str], *, min_confidence: float = 0.5, smoothing: float = 500.0, weight: float = 0.3, strength: float = 20.0, und_prior: float = 1e-3) -> DataFrame:
     """Keys, ``lang`` (null: rejected) and ``confidence`` of every row."""
     code = F.regexp_extract(F.lower(F.trim("declared")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     rows = rows.withColumn("declared", F.when(code != "", code)).withColumn("suffix", F.when(F.col("suffix").rlike(r"^[a-z0-9]{2,3}$"), F.col("suffix")))
-    langs, logp = _fit(count_trigrams(rows), min_docs)
+    langs, folder = _fit(count_trigrams(rows), smoothing)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema[k] for k in keys))
     if not langs:
         return rows.select(*keys, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))
     n = len(langs)
-    scored = written(_score(rows, keys, logp, weight), "langid-scored")
+    scored = written(_score(rows, keys, folder, weight), "langid-scored")
     declared, suffix = _evidence(scored, "declared", n), _evidence(scored, "suffix", n)
     priors, root = host_priors(scored, n, strength)
     priors = sized(written(priors, "langid-priors"))
@@ -190,7 +214,7 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Evidence of the pages table: the ``lang`` attribute of the markup, the address's last label, host and domain."""
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1>|<[^>]*>", " ")
     declared = F.regexp_extract(F.col("html"), r"(?i)<html[^>]*\blang=[\"']?([A-Za-z_-]+)", 1)
     return pages.select(

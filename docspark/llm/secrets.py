@@ -1,9 +1,13 @@
 """Operator 4: secret scan by dictionary-primed zstandard novelty.
 
 Candidates are values in a sensitive context: assigned to a name such as
-``password``, ``token`` or ``api_key``, or of a known credential shape; a value
-in quotes may hold spaces, and the search goes on right after each name.  For
-each candidate the marginal compressed bytes are measured: what it adds to the text
+``password``, ``contraseña``, ``token`` or ``api_key`` (also by "is"), the
+password of an address (``scheme://user:password@host``), of a known credential
+shape, or assigned to any name and by their look no word or number but random
+(20 characters or more of capitals, small letters and digits that change kind
+more often than names in code do).  A value in quotes may hold spaces, and the
+search goes on right after each name.  Every pattern is searched in linear time.
+For each candidate the marginal compressed bytes are measured: what it adds to the text
 around it, under a compressor primed with a dictionary of the identifiers that
 are frequent around all candidates of the corpus.  A value
 that repeats its surroundings or is made of known identifiers adds few bytes; a
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_NAME = r"pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
+_NAME = r"pass(?:word|wd|phrase)?|passwort|kennwort|contrase(?:ñ|n)a|clave|mot[ _-]?de[ _-]?passe|senha|parola|пароль|密码|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
 _SHAPES = {
     "aws_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github": r"gh[pousr]_[A-Za-z0-9]{20,}",
@@ -47,19 +51,48 @@ _SHAPES = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
 }
 #: RE2 syntax; a text without a match has no candidate.
-PREFILTER = rf"(?i:{_NAME})|" + "|".join(_SHAPES.values()) + "|PRIVATE KEY-----"
-_ASSIGNED = re.compile(rf"(?i:({_NAME}))[\"']?(?:\s*(?:=>|:=|==|=|:)\s*|\s+)(?:(?i:bearer|basic)\s+)?(?:\"([^\"\r\n]{{8,}})\"|'([^'\r\n]{{8,}})'|(?!(?i:{_NAME})[\"']?\s*[=:])([A-Za-z0-9+/_.~$!@#%^&*-]{{8,}}+={{0,2}}+)(?![\\[(]))")
+PREFILTER = rf"(?i:{_NAME})|" + "|".join(_SHAPES.values()) + r"|PRIVATE KEY-----|://[^\s/:@]*:[^\s/@]{6}|[=:][\"' ]{0,3}[A-Za-z0-9+/_-]{20}"
+_ASSIGNED = re.compile(rf"(?i:({_NAME}))[\"']?(?:\s*(?:=>|:=|==|=|:)\s*|\s+(?:(?i:is|was|ist|lautet|est|es)\s+)?)(?:(?i:bearer|basic)\s+)?(?:\"([^\"\r\n]{{8,}})\"|'([^'\r\n]{{8,}})'|(?!(?i:{_NAME})[\"']?\s*[=:])([A-Za-z0-9+/_.~$!@#%^&*-]{{8,}}+={{0,2}}+)(?![\\[(]))")
 _LABEL = re.compile(rf"(?i:{_NAME})(?:=|[\"']?\s*[=:])")
 _SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _SHAPES.items()) + r")(?![A-Za-z0-9])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:.+?-----END \1PRIVATE KEY-----|[A-Za-z0-9+/=\s]+)", re.S)
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ ){0,4})PRIVATE KEY-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]+")
+_ADDRESS = re.compile(r"://[^\s/:@]*+:([^\s/@]{6,}+)@")
+_RANDOM = re.compile(r"[=:][\"' ]{0,3}([A-Za-z0-9+/_-]{20,}+={0,2})")
+_KINDS = np.zeros(128, np.int8)
+_KINDS[48:58], _KINDS[65:91], _KINDS[97:123] = 1, 2, 3
 _IDENTIFIER = re.compile(r"\w{3,40}")
 #: Literals from which zstandard codes them by their frequency, and bytes that a block of them or of matches has besides.
 RAW_LITERALS, OVERHEAD = 64, 16
 
 
+def _private_keys(text: str):
+    """(start, end) from each header to its footer, or over the key material if there is none."""
+    at, endless = 0, set()
+    while m := _PEM.search(text, at):
+        footer = f"-----END {m.group(1)}PRIVATE KEY-----"
+        end = -1 if footer in endless else text.find(footer, m.end())
+        if end >= 0:
+            yield m.start(), end + len(footer)
+            at = end + len(footer)
+        else:
+            endless.add(footer)
+            body = _PEM_BODY.match(text, m.end())
+            if body:
+                yield m.start(), body.end()
+            at = body.end() if body else m.end()
+
+
+def looks_random(value: str) -> bool:
+    """Digits, capitals and small letters, two or more of each, that change kind in over a third of the places."""
+    kinds = _KINDS[np.frombuffer(value.encode("ascii"), np.uint8)]
+    return bool((np.bincount(kinds, minlength=4)[1:] >= 2).all()) and 3 * int((kinds[1:] != kinds[:-1]).sum()) > len(value)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the candidates, in order; of those that overlap the first, and the longest, comes first."""
-    found = [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
+    found = [(s, e, "private_key") for s, e in _private_keys(text)]
+    found += [(m.start(1), m.end(1), "address") for m in _ADDRESS.finditer(text)]
     found += [(m.start(), m.end(), m.lastgroup) for m in _SHAPED.finditer(text)]
     at = 0
     while m := _ASSIGNED.search(text, at):
@@ -70,6 +103,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         value = m.group(g)
         if marked or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not (g == 4 and any(x.end() >= m.end(4) for x in _LABEL.finditer(text, m.start(4), m.end(4) + 3)))):
             found.append((m.start(g), m.end(g), m.group(1).lower()))
+    found += [(m.start(1), m.end(1), "assigned") for m in _RANDOM.finditer(text) if looks_random(m.group(1))]
     out: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[:2] != out[-1][:2]:

@@ -15,10 +15,17 @@ The search for pairs:
    Dynamic programming chooses thresholds t_i >= -1 with sum tau - parts + 1
    that give the fewest candidates.  Any pair within tau bits is within t_i in
    some partition, so the search misses none.
-4. Signatures are cut into tiles by hash; every pair of tiles is one task which
-   probes each partition's index with all values within t_i and verifies.
-   Every signature is a query.  Tiles reduce what they found to a spanning star
-   per local component, so thousands of copies don't become millions of pairs.
+4. Every signature is a query.  Of two plans for the same pairs the one that
+   moves fewer rows is taken.  Tiles: signatures are cut into tiles by hash; every
+   pair of tiles is one task which probes each partition's index with all values
+   within t_i and verifies.  Keys: each signature goes to all values within
+   ceil(t_i / 2) of its own in each partition, and is near those within
+   floor(t_i / 2); two values within t_i share such a key, near for one of them,
+   so each key is one task which verifies its pairs.  The number of rows a
+   signature is moved as is then fixed by the thresholds, not by the number of
+   signatures; keys with more than ``tile_rows`` rows are cut in pairs of cells.
+   Tasks reduce what they found to a spanning star per local component, so
+   thousands of copies don't become millions of pairs.
 5. Components of the stars by iterated minimum propagation with checkpoints.
 
 Rows with a null key, and null, empty or wordless texts, are in no group.
@@ -30,6 +37,7 @@ Extra columns are ignored.  An empty table gives no groups.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +188,7 @@ def plan(reps: DataFrame, tau: int, parts: int, tile_rows: int) -> tuple[list[li
         own = hist[hist.part == p]
         h[own.value.to_numpy()] = own.n.to_numpy()
         spread = pairs_by_distance(h)
-        probes = np.cumsum([len(list(itertools.combinations(range(len(g)), d))) if d <= 4 else 1e18 for d in range(len(spread))])
+        probes = np.cumsum([math.comb(len(g), d) for d in range(len(spread))])
         costs.append(np.cumsum(spread) + 4.0 * n * max(1, n / tile_rows) * probes)  # candidates to verify, probes of every tile
     return groups, allocate(costs, tau), n
 
@@ -260,6 +268,66 @@ def _edges(reps: DataFrame, groups, thresholds, tau: int, agree: int, tiles: int
     return spread.repartition(max(1, tiles * (tiles + 1) // 2), "task").groupBy("task").applyInArrow(run, "src long, dst long")
 
 
+def ball(bits: int, radius: int) -> np.ndarray:
+    """All masks of at most ``radius`` of ``bits`` bits, by number of bits."""
+    return np.array([sum(1 << f for f in flipped) for d in range(radius + 1) for flipped in itertools.combinations(range(bits), d)], np.int64)
+
+
+def rows_by_key(groups, thresholds) -> int:
+    """Rows a signature is moved as by ``_keyed_edges``."""
+    return sum(len(ball(len(g), -(-t // 2))) for g, t in zip(groups, thresholds) if t >= 0)
+
+
+def near_pairs(sig: np.ndarray, mins: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int, agree: int, chunk: int = 1 << 21):
+    """Pairs (i, j), i from ``left`` and j from ``right``, one of them near, within tau bits whose minima agree in ``agree`` places."""
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in ((left[near[left]], right), (left[~near[left]], right[near[right]])):
+        step = max(1, chunk // max(1, len(b)))
+        for at in range(0, len(a) if len(b) else 0, step):
+            own = a[at : at + step]
+            i, j = np.nonzero(np.bitwise_count(sig[own][:, None] ^ sig[b][None, :]) <= tau)
+            i, j = own[i], b[j]
+            same = (i != j) & ((mins[i] == mins[j]).sum(axis=1) >= agree)
+            found.append(np.stack([i[same], j[same]]))
+    return np.concatenate(found, axis=1)
+
+
+def _keyed_edges(reps: DataFrame, groups, thresholds, tau: int, agree: int, cell_rows: int) -> DataFrame:
+    """(src, dst) stars, src < dst, of the pairs found under every key of every partition."""
+    parts = [(p, g, ball(len(g), -(-t // 2)), len(ball(len(g), t // 2))) for p, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
+
+    def spread(batch):
+        sig = batch.column(1).to_numpy().view(U64)
+        for p, bits, masks, n_near in parts:
+            step = max(1, (1 << 18) // len(masks))
+            for a in range(0, len(sig), step):
+                keys = part_values(sig[a : a + step], bits)[:, None] ^ masks[None, :]
+                rows = np.repeat(np.arange(a, a + len(keys)), len(masks))
+                near = np.tile(np.arange(len(masks)) < n_near, len(keys))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(((p << 32) | keys.ravel())), pa.array(near)], names=["rep", "sig", "mins", "key", "near"])
+
+    spread_rows = arrow_map(reps.select("rep", "sig", "mins"), spread, "rep long, sig long, mins binary, key long, near boolean")
+    counts = written(spread_rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "simhash-keys")  # a row a value of a partition at most
+    cells = F.ceil(F.col("_n") / cell_rows).cast("int")
+    rows = spread_rows.join(F.broadcast(counts.where("_n > 1").select(F.col("key").alias("_key"), cells.alias("cells"))), F.col("key") == F.col("_key")).drop("_key")
+    own = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.least(own, o) * F.col("cells") + F.greatest(own, o))
+    rows = rows.withColumn("cell", own).withColumn("pair", F.explode(pair))
+
+    def run(key, table):
+        first, second = divmod(key[1].as_py(), key[2].as_py())
+        ids, sig, near, cell = table["rep"].to_numpy(), table["sig"].to_numpy().view(U64), table["near"].to_numpy(zero_copy_only=False), table["cell"].to_numpy()
+        mins = np.frombuffer(b"".join(table["mins"].to_pylist()), np.uint8).reshape(-1, MINIMA)
+        order = np.argsort(ids)
+        ids, sig, mins, near, cell = ids[order], sig[order], mins[order], near[order], cell[order]
+        i, j = near_pairs(sig, mins, near, np.flatnonzero(cell == first), np.flatnonzero(cell == second), tau, agree)
+        root = _local_stars(i, j, len(ids))
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"src": ids[root[at]], "dst": ids[at]})
+
+    return rows.groupBy("key", "pair", "cells").applyInArrow(run, "src long, dst long")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): each node of the edges and the smallest node of its component (large-star, small-star)."""
     edges = checkpointed(edges.distinct())
@@ -279,8 +347,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tau: int = 10, resemblance: float = 0.35, parts: int = 4, tile_rows: int = 120_000) -> DataFrame:
-    """(doc_id, group_id, keep) of every document that has a near duplicate; one document of a group has ``keep``."""
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tau: int = 10, resemblance: float = 0.35, parts: int = 4, tile_rows: int = 120_000, by_key: bool | None = None) -> DataFrame:
+    """(doc_id, group_id, keep) of every document that has a near duplicate; one document of a group has ``keep``.  ``by_key`` forces a plan."""
     signed = written(sign(docs, key, text), "simhash")
     reps = written(signed.groupBy("sig", "mins").agg(F.min("id").alias("rep")), "simhash-reps")
     groups, thresholds, n = plan(reps, tau, parts, tile_rows)
@@ -290,7 +358,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     tiles = max(1, -(-n // tile_rows))
     agree = int(np.ceil((resemblance + (1 - resemblance) / 256) * MINIMA))
     same = members.where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    found = components(_edges(reps, groups, thresholds, tau, agree, tiles).unionByName(same))
+    if by_key if by_key is not None else rows_by_key(groups, thresholds) < tiles:
+        edges = _keyed_edges(reps, groups, thresholds, tau, agree, tile_rows)
+    else:
+        edges = _edges(reps, groups, thresholds, tau, agree, tiles)
+    found = components(edges.unionByName(same))
     found = found.groupBy("node").agg(F.min("root").alias("root"))
     roots = found.select(F.col("root").alias("node"), "root").distinct()
     return found.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))

@@ -16,9 +16,15 @@ done with.  This is exact: no window is left out and nothing is capped.
   sorted and named recursively, the rest induced in linear time), common
   prefixes are computed in text order (permuted LCP), and suffixes between
   which the LCP stays at ``length`` or more share a window.
+* A hot key, whose distinct contexts hold more than ``shard_words`` words (a
+  license header in as many pages), would be one task however many contexts it
+  has.  Its contexts are compared window by window instead, a narrow row each
+  that combines before it moves; so a shard is bounded and still nothing is left
+  out.
 
-Words are compared by 64-bit hashes of their lower-cased bytes in windows and
-contexts, so punctuation, case and spacing don't matter.
+Words are 64-bit hashes of their lower-cased bytes, so punctuation, case and
+spacing don't matter.  Windows and contexts are equal if two 64-bit hashes are,
+that of the minimiser and their own.
 
 Result: (doc_id, start_word, end_word, n_words), maximal spans of words covered
 by windows that occur in another document too.  Rows with a null doc_id, and
@@ -238,7 +244,7 @@ def _context_words(docs: DataFrame, wanted: DataFrame, key: str, text: str, leng
     return arrow_map(rows, run, "key long, context long, low long, high long, words array<long>")
 
 
-def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, anchor: int = 25) -> DataFrame:
+def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, anchor: int = 25, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words), one row for each maximal repeated span."""
     scanned = written(_scan(docs, key, text, length, anchor), "repeats-runs")
     is_long = F.col("n") > 1
@@ -246,15 +252,17 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     mixed = F.col("c").isNotNull() & (F.least("a", "c") != F.greatest("b", "d"))
     keys = scanned.groupBy("key").agg(*sides).where((F.col("a") != F.col("b")) | (F.col("a").isNotNull() & mixed)).select("key", F.coalesce(mixed, F.lit(False)).alias("mixed"))
     keys = written(keys, "repeats-keys")
-    seen = scanned.where(~is_long).groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
-    singles = scanned.where(~is_long).join(seen, "hash").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    seen = scanned.where(~is_long).groupBy("key", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key", "hash")
+    singles = scanned.where(~is_long).join(seen, ["key", "hash"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
     common = written(scanned.where(is_long).join(keys, "key").withColumnRenamed("hash", "context"), "repeats-common")
     contexts = common.groupBy("key", "context", "mixed").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
     contexts = written(contexts.select("key", "context", "mixed", F.col("_first.doc_id").alias("low"), F.col("_first.start").alias("start"), "high", "n"), "repeats-contexts")
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_k"), F.max("mixed").alias("_m")).where("_k > 1 OR _m").select("key")
-    wanted = written(contexts.join(several, "key"), "repeats-compared")
-    total = wanted.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_WORDS))
+    held = F.col("n") + length - 1
+    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_k"), F.max("mixed").alias("_m"), F.sum(held).alias("_w")).where("_k > 1 OR _m")
+    wanted = written(contexts.join(several.select("key", (F.col("_w") > shard_words).alias("hot")), "key"), "repeats-compared")
+    hot = written(wanted.where("hot").select("key").distinct(), "repeats-hot")
+    total = wanted.where("NOT hot").agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_words))
 
     def shard(group, table):
         lists = table["words"].combine_chunks()
@@ -271,16 +279,19 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
         index = pa.array(own[first])
         return pa.table({"key": table["key"].take(index), "context": table["context"].take(index), "from": pa.array(rel[first].astype(np.int32)), "to": pa.array((rel[last] + length).astype(np.int32))})
 
-    words = written(_context_words(docs, wanted, key, text, length, anchor).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), "repeats-words")
-    parts = words.repartition(int(shards), "shard").groupBy("shard").applyInArrow(shard, "key long, context long, `from` int, `to` int")
-    whole = contexts.where("low <> high").select("key", "context", F.lit(0).alias("from"), (F.col("n") + length - 1).cast("int").alias("to"))
-    # Windows of short runs against the windows of long runs with their minimiser.
-    few = scanned.where(~is_long).join(keys.where("mixed").select("key"), "key").select("key", F.col("hash").alias("window"), "doc_id", "start")
-    inside = written(_windows(words.join(keys.where("mixed").select("key"), "key"), length), "repeats-windows")
+    words = written(_context_words(docs, wanted, key, text, length, anchor), "repeats-words")
+    sharded = words.join(sized(hot), "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    parts = sharded.repartition(int(shards), "shard").groupBy("shard").applyInArrow(shard, "key long, context long, `from` int, `to` int")
+    whole = contexts.where("low <> high").select("key", "context", F.lit(0).alias("from"), held.cast("int").alias("to"))
+    # Windows of hot keys against each other, and windows of short runs against those of long runs with their minimiser.
+    mixed_keys = keys.where("mixed").select("key")
+    few = scanned.where(~is_long).join(mixed_keys, "key").select("key", F.col("hash").alias("window"), "doc_id", "start")
+    inside = written(_windows(words.join(mixed_keys.union(hot).distinct(), "key"), length), "repeats-windows")
     ends = few.groupBy("key", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    both = inside.groupBy("key", "window").agg(F.min("low").alias("c"), F.max("high").alias("d")).join(ends, ["key", "window"])
-    both = written(both.where(F.least("a", "c") != F.greatest("b", "d")).select("key", "window"), "repeats-mixed")
-    reverse = inside.join(both, ["key", "window"]).select("key", "context", F.col("at").alias("from"), (F.col("at") + length).cast("int").alias("to"))
+    held_by = inside.groupBy("key", "window").agg(F.min("low").alias("c"), F.max("high").alias("d"))
+    both = written(held_by.join(ends, ["key", "window"]).where(F.least("a", "c") != F.greatest("b", "d")).select("key", "window"), "repeats-mixed")
+    among = held_by.where("c <> d").join(sized(hot), "key", "left_semi").select("key", "window")
+    reverse = inside.join(both.union(among).distinct(), ["key", "window"]).select("key", "context", F.col("at").alias("from"), (F.col("at") + length).cast("int").alias("to"))
     alone = few.join(both, ["key", "window"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
     found = written(whole.unionByName(parts).unionByName(reverse), "repeats-found")
     spans = common.join(found, ["key", "context"]).select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
