@@ -6,17 +6,29 @@ lineage with ``checkpoint`` in the folder of spark.checkpoint.dir.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the shared folder of the session; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; a local one only where none is set and all run in this process."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="docspark-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="docspark-"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -84,16 +96,31 @@ def reachable(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"reachability not settled in {max_rounds} rounds")
 
 
-def nodes_in_cycles(edges: DataFrame, **options) -> DataFrame:
+def nodes_in_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that can reach themselves; edges to self are ignored.
 
-    Nodes without an edge in or out are peeled first, so an acyclic graph costs no closure.
+    They are those of the strongly connected components of two nodes or more, found by colouring: every node takes the
+    greatest node that reaches it, and of each colour the nodes that reach its namesake are a component.  Components
+    of all colours are found at once and taken out until no edge is left, so no pairs of nodes are kept, only a row a node.
+    Every round takes a component of each colour out, so the rounds end by themselves.
     """
-    left = edges.where("src <> dst").select("src", "dst").distinct()
-    for _ in range(options.get("max_rounds", 100)):
-        kept = checkpointed(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        n, m = left.count(), kept.count()
-        left = kept
-        if n == m:
-            break
-    return reachable(left, **options).where("src = dst").select(F.col("src").alias("node"))
+    left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    found = left.select(F.col("src").alias("node")).limit(0)
+    while not left.isEmpty():
+        colour = checkpointed(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().select("node", F.col("node").alias("colour")))
+        while True:
+            into = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
+            step = checkpointed(colour.join(into, "node", "left").select("node", F.greatest("colour", "_new").alias("colour"), (F.coalesce("_new", "colour") > F.col("colour")).alias("_moved")))
+            colour = step.drop("_moved")
+            if step.where("_moved").isEmpty():
+                break
+        tails, heads = colour.toDF("src", "colour"), colour.toDF("dst", "_colour")
+        within = checkpointed(left.join(tails, "src").join(heads, "dst").where(F.col("colour") == F.col("_colour")).select("src", "dst"))
+        back = fresh = checkpointed(colour.where("node = colour").select("node"))
+        while not fresh.isEmpty():
+            fresh = checkpointed(within.join(fresh, within["dst"] == fresh["node"], "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            back = checkpointed(back.union(fresh))
+        cyclic = within.join(back.toDF("src"), "src", "left_semi").join(back.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        found = checkpointed(found.union(cyclic))
+        left = checkpointed(within.join(back.toDF("src"), "src", "left_anti").join(back.toDF("dst"), "dst", "left_anti"))
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,22 @@ def merkle_levels(leaves: DataFrame, *, position: str = "pos", leaf: str = "hash
     return out
 
 
-def merkle_root(leaves: DataFrame, **options) -> DataFrame:
-    """One row: root.  Positions are 0 to n - 1."""
-    levels = merkle_levels(leaves, **options)
-    return levels[-1].agg(F.coalesce(F.max("hash"), F.lit(EMPTY_ROOT)).alias("root"))
+def merkle_root(leaves: DataFrame, *, position: str = "pos", leaf: str = "hash", height: int = 12) -> DataFrame:
+    """One row: root.  Positions are 0 to n - 1.  Aligned subtrees of 2**height leaves are hashed in one go each, so a job rises ``height`` levels."""
+    level = leaves.select(F.col(position).cast("long").alias("pos"), F.col(leaf).alias("hash"))
+    n = level.count()
+    while n > 1:
+        up = min(height, (n - 1).bit_length())
+
+        def subtree(key, table):
+            level = [bytes.fromhex(h) for h in table.sort_by("pos")["hash"].to_pylist()]
+            for _ in range(up):
+                level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+            return pa.table({"pos": [key[0].as_py()], "hash": [level[0].hex()]})
+
+        level = checkpointed(level.withColumn("_tree", F.shiftright("pos", up)).groupBy("_tree").applyInArrow(subtree, "pos long, hash string"))
+        n = -(-n >> up)
+    return level.agg(F.coalesce(F.max("hash"), F.lit(EMPTY_ROOT)).alias("root"))
 
 
 def merkle_proof(leaves: DataFrame, at: int, **options) -> list[tuple[str, str]]:

@@ -6,6 +6,7 @@ import decimal
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,16 +226,12 @@ def erase_subject(df: DataFrame, field: str, subject, key: bytes, when: str) ->
 
 def order_token(c: Column | str) -> Column:
     """Hex of the IEEE-754 bits, so that texts sort as the numbers do; a plain encoding, not a security feature."""
-    import struct
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or x != x:
-                return None
-            bits = struct.unpack(">Q", struct.pack(">d", x + 0.0))[0]
-            return format(bits ^ 0xFFFFFFFFFFFFFFFF if bits >> 63 else bits ^ (1 << 63), "016x")
-
-        return values.map(one)
+        x = values.to_numpy(np.float64, na_value=np.nan) + 0.0
+        bits = x.view(np.uint64)
+        bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+        text = bits.astype(">u8").tobytes().hex()
+        return pd.Series([None if gone else text[16 * i : 16 * i + 16] for i, gone in enumerate(np.isnan(x).tolist())], dtype=object)
 
     return run(col(c).cast("double"))

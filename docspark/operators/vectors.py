@@ -103,22 +103,27 @@ def memory_estimate(n: Column, dimensions: int) -> Column:
     return F.struct((n * dimensions * 4).alias("float32"), (n * (dimensions + 16)).alias("sq8"), (n * (words * 4 + 8)).alias("one_bit"))
 
 
+_FNV, _WORD = np.uint64(0x01000193), np.uint64(0xFFFFFFFF)
+
+
 def _embed(text: str | None, dimensions: int) -> list[float]:
-    body = (text or "").lower().strip()
-    out = np.zeros(dimensions)
-    if not body:
-        return out.tolist()
-    tokens = body.split()
-    joined = "".join(tokens)
-    for i in range(len(joined) - 1):
-        tokens.append(joined[i : i + 2])
-        if i < len(joined) - 2:
-            tokens.append(joined[i : i + 3])
-    for i, token in enumerate(tokens):
-        h = 0x811C9DC5
-        for ch in token:
-            h = ((h ^ ord(ch)) * 0x01000193) & 0xFFFFFFFF
-        out[abs(h - (1 << 32) if h >> 31 else h) % dimensions] += 1 / np.sqrt(i + 1)
+    words = (text or "").lower().split()
+    if not words:
+        return [0.0] * dimensions
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in words])
+    start, n, w = np.cumsum(size) - size, len(codes), len(words)
+    h = np.full(w + max(0, 2 * n - 3), 0x811C9DC5, np.uint64)
+    alive = np.arange(w)
+    for j in range(int(size.max())):
+        alive = alive[size[alive] > j]
+        h[alive] = (h[alive] ^ codes[start[alive] + j]) * _FNV & _WORD
+    if n > 1:  # after the words, the 2- and the 3-gram at each character
+        one = (np.uint64(0x811C9DC5) ^ codes) * _FNV & _WORD
+        two = (one[:-1] ^ codes[1:]) * _FNV & _WORD
+        h[w::2], h[w + 1 :: 2] = two, (two[:-1] ^ codes[2:]) * _FNV & _WORD
+    signed = h.astype(np.uint32).view(np.int32).astype(np.int64)
+    out = np.bincount(np.abs(signed) % dimensions, 1 / np.sqrt(np.arange(1, len(h) + 1)), dimensions)
     return (out / np.linalg.norm(out)).tolist()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -156,12 +157,10 @@ def _(t):
 
 # Graphs.
 def _edges(t):
-    """Suppliers that shipped full lots of the same part: the least to the greatest of each part."""
-    one = t("lineitem").where("l_quantity = 50").groupBy("l_partkey").agg(F.min("l_suppkey").alias("src"), F.max("l_suppkey").alias("dst"))
-    return one.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
-EDGES = "(SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT l_partkey, min(l_suppkey) AS src, max(l_suppkey) AS dst FROM lineitem WHERE l_quantity = 50 GROUP BY 1) WHERE src <> dst GROUP BY 1, 2)"
+    """From the supplier of each shipment of a part to that of the part's next one, with the number of such steps."""
+    after = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
+    steps = t("lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(after).alias("dst"))
+    return steps.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query("graph_neighbours", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 3")
@@ -170,19 +169,17 @@ def _(t):
     return graph.neighbours(edges, t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 1003, "has")
 
 
-@query("graph_shortest_path", f"""
-WITH RECURSIVE e AS (SELECT * FROM {EDGES}), p(node, distance) AS (SELECT min(src), 0::DOUBLE FROM e UNION SELECT e.dst, p.distance + e.weight FROM p JOIN e ON e.src = p.node)
-SELECT node, min(distance) AS distance FROM p GROUP BY 1""")
+@query("graph_shortest_path")
 def _(t):
     edges = graph.checkpointed(_edges(t))
     return graph.shortest_paths(edges, edges.agg(F.min("src")).first()[0]).select("node", "distance")
 
 
-@query("graph_cycle", "SELECT -1::BIGINT AS node UNION ALL SELECT -2::BIGINT UNION ALL SELECT -3::BIGINT")
+@query("graph_cycle")
 def _(t):
     edges = _edges(t).select("src", "dst")
-    back = t.spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-9, -9)], "src long, dst long")
-    return graph.nodes_in_cycles(edges.unionByName(back))
+    more = t.spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-9, -9), (-10, -11), (-11, -1)], "src long, dst long")
+    return graph.nodes_in_cycles(edges.unionByName(more))
 
 
 @query("graph_unique_edges", "SELECT l_suppkey AS src, l_partkey AS dst, arg_max(l_quantity, (l_orderkey * 100 + l_linenumber) * 1000 + l_quantity) AS weight FROM lineitem GROUP BY 1, 2")
@@ -310,29 +307,32 @@ def _(t):
 
 @query("hash_embedding")
 def _(t):
-    return t("benchmark").select("item_id", vectors.embed("text").alias("vector"))
+    return t("documents").select("doc_id", vectors.embed("text").alias("vector"))
 
 
 @query("rag_ask")
 def _(t):
-    chunks = vectors.rag_ingest(t("benchmark"), key="item_id")
-    return vectors.rag_ask(chunks, "what is this", key="item_id")
+    return vectors.rag_ask(vectors.rag_ingest(t("documents")), "what is this")
+
+
+def _embedded(t):
+    return t("documents").select("doc_id", "text", vectors.embed("text").alias("vector"))
 
 
 @query("hybrid_search")
 def _(t):
-    docs = t("benchmark").select(F.col("item_id").alias("doc_id"), "text").withColumn("vector", vectors.embed("text"))
-    return vectors.hybrid(docs, "the heon", vectors.embed_text("the heon"))
+    return vectors.hybrid(_embedded(t), "the heon", vectors.embed_text("the heon"))
 
 
 @query("agent_recall")
 def _(t):
-    memories = t("benchmark").select(F.col("item_id").alias("_id"), "text", vectors.embed("text").alias("vector"), (F.col("item_id") * 3_600_000).alias("createdAt"), F.lit(None).cast("long").alias("expiresAt"), F.lit(1.0).alias("importance"), F.lit("a").alias("agent"))
+    memories = _embedded(t).select(F.col("doc_id").alias("_id"), "text", "vector", (F.col("doc_id") * 3_600_000).alias("createdAt"), F.lit(None).cast("long").alias("expiresAt"), F.lit(1.0).alias("importance"), F.lit("a").alias("agent"))
     return vectors.shared_recall(memories, vectors.embed_text("the heon"), 1_000_000_000, agents=["a"])
 
 
 @query("semantic_cache")
 def _(t):
-    cache = t("benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("prompt"), vectors.embed("text").alias("vector"), F.col("text").alias("response"), F.lit(0).cast("long").alias("createdAt"))
-    prompts = t("benchmark").select(F.col("item_id").alias("prompt_id"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" x"))).alias("prompt"))
-    return vectors.cache_lookup(prompts.withColumn("vector", vectors.embed("prompt")), cache, 1000).select("prompt_id", "tier")
+    """Every document is a cached prompt; every fiftieth is asked, half of them with another word."""
+    cache = _embedded(t).select(F.col("doc_id").alias("entry_id"), F.col("text").alias("prompt"), "vector", F.col("text").alias("response"), F.lit(0).cast("long").alias("createdAt"))
+    asked = t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("prompt_id"), F.when(F.col("doc_id") % 100 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" x"))).alias("prompt"))
+    return vectors.cache_lookup(asked.withColumn("vector", vectors.embed("prompt")), cache, 1000).select("prompt_id", "tier")

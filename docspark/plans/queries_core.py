@@ -139,7 +139,7 @@ def _(t):
     return t("nation").select("n_nationkey", "n_name", soundex("n_name").alias("code"))
 
 
-@query("find_soundex")
+@query("find_soundex", f"SELECT * FROM nation WHERE n_nationkey IN (SELECT k FROM ({SOUNDEX}) WHERE code = 'N350')")
 def _(t):
     return find(t("nation"), {"n_name": {"$soundex": "NATION"}})
 

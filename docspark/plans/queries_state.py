@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -313,16 +313,16 @@ def _(t):
     return privacy.erase_subject(t("events"), "user_id", 7, KEY, "2024-01-31")[0].select("event_id")
 
 
-@query("field_encryption")
+@query("field_encryption", "SELECT c_custkey, true AS same, true AS bound FROM customer")
 def _(t):
-    key = F.lit(privacy.derive_key("secret", "salt", 1000))
+    key = F.lit(privacy.derive_key("secret", "salt"))
     hidden = t("customer").select("c_custkey", "c_name", privacy.encrypt("c_name", "c_custkey", "c_name", key).alias("c"))
     return hidden.select("c_custkey", (privacy.decrypt("c", "c_custkey", "c_name", key) == F.col("c_name")).alias("same"), privacy.decrypt("c", F.col("c_custkey") + 1, "c_name", key).isNull().alias("bound"))
 
 
-@query("key_rotation")
+@query("key_rotation", "SELECT c_custkey AS _id, 2::INTEGER AS key_version, true AS same FROM customer")
 def _(t):
-    old, new = privacy.derive_key("a", "s", 10), privacy.derive_key("b", "s", 10)
+    old, new = privacy.derive_key("a", "s"), privacy.derive_key("b", "s")
     rows = t("customer").select(F.col("c_custkey").alias("_id"), "c_name", privacy.encrypt("c_name", "c_custkey", "n", F.lit(old)).alias("n"), F.lit(1).alias("key_version"))
     out = privacy.rotate(rows, "n", "n", {1: old}, (2, new))
     return out.select("_id", "key_version", (privacy.decrypt("n", "_id", "n", F.lit(new)) == F.col("c_name")).alias("same"))
@@ -333,22 +333,20 @@ def _(t):
     return privacy.private_aggregates(t("customer"), "c_acctbal", epsilon=1.0, low=0, high=10_000)
 
 
-@query("order_token", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal)::INTEGER AS r FROM customer")
+@query("order_token", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)::INTEGER AS r FROM customer")
 def _(t):
     from pyspark.sql import Window
 
-    rows = t("customer").select("c_custkey", privacy.order_token("c_acctbal").alias("token"))
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranks = counts.select("token", (F.coalesce(F.sum("n").over(Window.orderBy("token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int").alias("r"))
-    return rows.join(ranks, "token").select("c_custkey", "r")
+    rows = t("customer").select("c_custkey", "c_nationkey", privacy.order_token("c_acctbal").alias("token"))
+    return rows.select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy("token")).alias("r"))
 
 
-MERKLE = " ".join(f", l{i + 1} AS (SELECT pos // 2 AS pos, sha256(unhex(arg_min(hash, pos) || arg_max(hash, pos))) AS hash FROM l{i} GROUP BY 1)" for i in range(5))
+MERKLE = " ".join(f", l{i + 1} AS MATERIALIZED (SELECT pos // 2 AS pos, CASE WHEN (SELECT count(*) FROM l{i}) = 1 THEN min(hash) ELSE sha256(unhex(arg_min(hash, pos) || arg_max(hash, pos))) END AS hash FROM l{i} GROUP BY 1)" for i in range(24))
 
 
-@query("merkle_root", f"WITH l0 AS (SELECT n_nationkey AS pos, sha256(n_name) AS hash FROM nation) {MERKLE} SELECT hash AS root FROM l5")
+@query("merkle_root", f"WITH l0 AS MATERIALIZED (SELECT o_orderkey AS pos, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS hash FROM orders) {MERKLE} SELECT hash AS root FROM l24")
 def _(t):
-    return integrity.merkle_root(t("nation").select(F.col("n_nationkey").alias("pos"), F.sha2("n_name", 256).alias("hash")))
+    return integrity.merkle_root(t("orders").select(F.col("o_orderkey").alias("pos"), F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("hash")))
 
 
 def _chained(t):
@@ -381,14 +379,8 @@ def _(t):
 
 # Sources and sinks.
 def _folder(t, name: str) -> str:
-    """A fresh folder: the cluster's shared one, or a local one where none is set."""
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base:
-        import uuid
-
-        return f"{base}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"docspark-{name}-") + "/data"
+    """A fresh folder in the shared one."""
+    return f"{graph.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("ndjson_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000")
@@ -412,10 +404,11 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("blob_chunks", "SELECT count(*) AS refs, count(DISTINCT c) AS chunks FROM (SELECT substr(text, (i * 100 + 1)::BIGINT, 100) AS c FROM benchmark, unnest(range(0, (length(text) - 1) // 100 + 1)) AS u(i))")
+@query("blob_chunks", """
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE length(text) > 0), p AS (SELECT substr(h, (i * 4096 + 1)::BIGINT, 4096) AS c FROM b, unnest(range(0, (length(h) - 1) // 4096 + 1)) AS u(i))
+SELECT count(*) AS refs, count(DISTINCT c) AS chunks FROM p""")
 def _(t):
-    ascii_only = t("benchmark").select("item_id", F.expr("translate(text, 'áéíóúñüöäßàâçèêëîïôùûÀÂÇÈÉÊÎÔÛÁÍÓÚÑÜÖÄ', 'aeiounuoasaaceeeiiouuAACEEEIOUAIOUNUOA')").alias("text"))
-    refs, chunks = writers.blob_chunks(ascii_only, key="item_id", data="text", size=100)
+    refs, chunks = writers.blob_chunks(t("documents"), key="doc_id", data="text", size=2048)  # most texts are far under the default of 64 KiB
     return refs.agg(F.count(F.lit(1)).alias("refs")).crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks")))
 
 

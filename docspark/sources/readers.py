@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import pyarrow.fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,10 @@ def csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def latest_bundle(root: str) -> str | None:
     """The newest dataset folder of a bundle directory, by name."""
-    found = sorted(p.name for p in Path(root).iterdir() if p.is_dir() and (p / "_MANIFEST.json").exists())
-    return f"{root}/{found[-1]}" if found else None
+    fs, base = pafs.FileSystem.from_uri(root)
+    folders = sorted((x.base_name for x in fs.get_file_info(pafs.FileSelector(base)) if x.type == pafs.FileType.Directory), reverse=True)
+    found = next((x for x in folders if fs.get_file_info(f"{base}/{x}/_MANIFEST.json").type == pafs.FileType.File), None)
+    return f"{root}/{found}" if found else None
 
 
 def generate_users(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:

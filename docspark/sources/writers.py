@@ -6,8 +6,8 @@ import hashlib
 import json
 import time
 from dataclasses import dataclass, field
-from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,20 +86,24 @@ class Transfer:
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str, *, name: str | None = None) -> str:
-    """A dataset folder with a manifest of rows and schemas; it is complete once the manifest is there."""
+    """A dataset folder (an absolute path or a URI) with a manifest of rows and schemas; it is complete once the manifest is there."""
     path = f"{root}/{name or time.strftime('%Y%m%dT%H%M%S')}"
     manifest = {}
     for table, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{table}.parquet")
         manifest[table] = {"rows": df.sparkSession.read.parquet(f"{path}/{table}.parquet").count(), "schema": json.loads(df.schema.json())}
     body = json.dumps(manifest, sort_keys=True)
-    (Path(path) / "_MANIFEST.json").write_text(json.dumps({"tables": manifest, "sha256": hashlib.sha256(body.encode()).hexdigest()}))
+    fs, base = pafs.FileSystem.from_uri(path)
+    with fs.open_output_stream(f"{base}/_MANIFEST.json") as out:
+        out.write(json.dumps({"tables": manifest, "sha256": hashlib.sha256(body.encode()).hexdigest()}).encode())
     return path
 
 
 def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a bundle; a manifest that doesn't match its digest raises."""
-    held = json.loads((Path(path) / "_MANIFEST.json").read_text())
+    fs, base = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(f"{base}/_MANIFEST.json") as held_file:
+        held = json.loads(held_file.read())
     if hashlib.sha256(json.dumps(held["tables"], sort_keys=True).encode()).hexdigest() != held["sha256"]:
         raise ValueError(f"bundle {path} has a broken manifest")
     return {name: spark.read.parquet(f"{path}/{name}.parquet") for name in held["tables"]}

@@ -24,20 +24,25 @@ def read_stream(spark: SparkSession, path: str, schema, *, files: int | None = N
     return reader.parquet(path)
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, *, mode: str = "append", seconds: int = 120) -> None:
-    """Runs a query over what is there now, into Parquet, and ends."""
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
-    if not query.awaitTermination(seconds):
+def _await(query, seconds: int | None) -> None:
+    """Until the query ends; with a limit, it is stopped and raises beyond it."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError("the stream didn't end")
 
 
-def drain_to_memory(df: DataFrame, name: str, *, mode: str = "append", seconds: int = 120) -> DataFrame:
+def drain(df: DataFrame, path: str, checkpoint: str, *, mode: str = "append", seconds: int | None = None) -> None:
+    """Runs a query over what is there now, into Parquet, and ends."""
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
+    _await(query, seconds)
+
+
+def drain_to_memory(df: DataFrame, name: str, *, mode: str = "append", seconds: int | None = None) -> DataFrame:
     """Runs a query over what is there now and gives its rows; for results that fit the driver."""
     query = df.writeStream.outputMode(mode).trigger(availableNow=True).format("memory").queryName(name).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("the stream didn't end")
+    _await(query, seconds)
     return df.sparkSession.table(name)
 
 
@@ -110,12 +115,10 @@ def rate_limit(df: DataFrame, key: str, time_ms: str, *, capacity: float = 100,
     return df.select(key, time_ms).groupBy(key).applyInPandas(once, f"`{key}` {kind}, `{time_ms}` {tkind}, allowed boolean")
 
 
-def for_each_batch(df: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: int = 120) -> None:
+def for_each_batch(df: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: int | None = None) -> None:
     """A callback a micro-batch, for change handlers and audit chains."""
     query = df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("the stream didn't end")
+    _await(query, seconds)
 
 
 def sweep(df: DataFrame, time: str, ttl: str, now: Column | None = None) -> DataFrame:

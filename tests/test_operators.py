@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import hmac
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,65 @@ def test_graph(spark):
 
 
 # Text and vectors.
+def test_graph_matches_brute_force(spark):
+    rng = random.Random(8)
+    for n, m in ((12, 14), (30, 45), (20, 60)):
+        pairs = [(rng.randrange(n), rng.randrange(n), rng.randint(1, 9)) for _ in range(m)]
+        df = spark.createDataFrame(pairs, "src long, dst long, weight long")
+        far = {(a, b): float("inf") for a in range(n) for b in range(n)}
+        for a, b, w in pairs:
+            if a != b:
+                far[a, b] = min(far[a, b], w)
+        for k in range(n):
+            for a in range(n):
+                for b in range(n):
+                    far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+        assert {r.node for r in graph.nodes_in_cycles(df).collect()} == {a for a in range(n) if far[a, a] < float("inf")}
+        source = pairs[0][0]
+        assert {r.node: r.distance for r in graph.shortest_paths(df, source).collect()} == {source: 0.0} | {b: far[source, b] for b in range(n) if b != source and far[source, b] < float("inf")}
+
+
+def naive_embedding(text, dimensions):
+    tokens = text.lower().split()
+    joined = "".join(tokens)
+    for i in range(len(joined) - 1):
+        tokens += [joined[i : i + 2], *([joined[i : i + 3]] if i < len(joined) - 2 else [])]
+    out = [0.0] * dimensions
+    for i, token in enumerate(tokens):
+        h = 0x811C9DC5
+        for c in token:
+            h = (h ^ ord(c)) * 0x01000193 % (1 << 32)
+        out[min(h, (1 << 32) - h) % dimensions] += (i + 1) ** -0.5
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out]
+
+
+@pytest.mark.parametrize("text", ["a", "ab", "a b", "Hello wide World", "机器学习 与 AI", " x \t yy  zzz\n", "naïve 🙂 façade " * 20])
+def test_embedding_matches_a_naive_one(text):
+    assert vectors.embed_text(text, 64) == pytest.approx(naive_embedding(text, 64), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 21])
+def test_merkle_subtrees(spark, n):
+    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(leaves)), "pos long, hash string")
+    want = integrity.merkle_levels(df)[-1].first()["hash"]
+    assert [integrity.merkle_root(df, height=h).first()["root"] for h in (1, 3, 12)] == [want] * 3
+
+
+def test_a_shared_folder_is_asked_for(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        graph.shared_folder(Session)
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("doc_1", "Encrypted cryptographic database engine"), ("doc_2", "Relational database"), ("doc_3", "Cooking with garlic"), ("doc_4", None)], "doc_id string, text string")
     assert [r["doc_id"] for r in text.text_index_search(docs, "Cryptographic Database").collect()] == ["doc_1", "doc_2"]

@@ -9,6 +9,12 @@ from docspark.plans import registry
 from docspark.sources.readers import TABLES
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+#: Queries that SQL can't check, with the test of their operator.
+ELSEWHERE = {
+    "near_dup_pages": "test_budget_and_duplicates", "token_budget": "test_budget_and_duplicates", "hash_embedding": "test_embedding_matches_a_naive_one", "rag_ask": "test_vectors", "hybrid_search": "test_vectors",
+    "agent_recall": "test_vectors", "semantic_cache": "test_vectors", "private_sum": "test_privacy", "manifest": "test_merkle_and_chain", "generate_users": "test_files", "stream_rate_limit": "test_streams",
+    "graph_shortest_path": "test_graph_matches_brute_force", "graph_cycle": "test_graph_matches_brute_force",
+}
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
@@ -33,6 +39,7 @@ def test_query(spark, sf, db, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in ORACLES:
+        assert name in ELSEWHERE
         return
     want = db.sql(ORACLES[name])
     assert sorted(want.columns) == columns
