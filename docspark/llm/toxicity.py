@@ -12,16 +12,21 @@ overfit the positives.
 Features are the distinct words of a text and their leading bytes (3 to 6),
 as 64-bit hashes: toxic coinages often share a stem.  Those in at least
 ``min_df`` positives are candidates; their frequency is counted over all
-documents, and the model has those of whose documents a share of at least
-``min_purity`` is toxic, going by the prior, and that are ``significance``
-standard deviations more frequent among positives than by chance.  All these
+documents, and the model has those that are ``significance`` standard
+deviations more, or less, frequent among positives than by chance.  All these
 counts are of distinct texts: each of n copies counts 1 / n.
 
-The only sampling is of the training rows: at most ``max_positives`` and
-``max_unlabelled`` distinct texts, the first by a seeded hash.  Counts and
-scores cover all documents.  A feature of the model that no training positive
-has gets its weight from the counts: alone in a text, it makes the score the log
-odds of its texts' share that is toxic.
+The positive risk is taken over at most ``max_positives`` labelled texts, the
+first by a seeded hash.  Unlabelled risk, counts and scores cover all documents:
+every distinct text is a row of its features, rows are dealt by hash into blocks
+of about ``block_rows``, each task steps from the common weights over its block,
+and the weights are averaged (iterative parameter mixing), ``rounds`` times.
+A feature of the model that no training positive has gets its weight from the
+counts: alone in a text, it makes the score the log odds of its texts' share
+that is toxic.
+
+The prior is the share of the labels that are toxic or, if all are, which tells
+nothing, the share of the distinct texts that are positives.
 
 Null, empty and wordless texts are never toxic.  Repeated rows get the same
 score, and copies of a text count once in training.  Null keys are scored but
@@ -127,16 +132,56 @@ def document_frequency(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray,
 
 
 def _rows_of(sample: DataFrame, known: np.ndarray) -> list[np.ndarray]:
+    return [np.array(r, np.int64) for r in sorted(list(row["at"]) for row in feature_rows(sample, known).select("at").collect())]
+
+
+def feature_rows(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(h, at): the known features of each distinct text with a word, with a hash of it."""
+
     def run(batch):
         for a, b, h, doc in features(batch.column(0)):
             own, at = _presence(h, doc, known)
             sizes = np.bincount(own, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(at.astype(np.int32)))], names=["at"])
-
-    return [np.array(r, np.int64) for r in sorted(list(row["at"]) for row in arrow_map(sample, run, "at array<int>").collect())]
-
-
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, *, steps: int = 300, rate: float = 0.05, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+            rows = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), rows], names=["h", "at"]).filter(pa.array(np.bincount(doc, minlength=b - a) > 0))
+
+    rows = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h"))
+    return arrow_map(rows, run, "h long, at array<int>").groupBy("h").agg(F.first("at").alias("at"))
+
+
+def fit(positive: list[np.ndarray], rows: DataFrame, size: int, prior: float, *, rounds: int, block_rows: int, steps: int, decay: float) -> tuple[np.ndarray, float]:
+    """Weights and bias, from the positives and all unlabelled rows (h, at) in blocks, by iterative parameter mixing."""
+    blocks = max(1, round(rows.count() / block_rows))
+    dealt = written(rows.repartition(blocks, "h").sortWithinPartitions("h"), "toxic-blocks") if blocks > 1 else rows
+    weights, bias = np.zeros(size), -1.0
+    for _ in range(rounds):
+        start, first = weights, bias
+
+        def run(batches):
+            total, n, held = np.zeros(size + 1), 0, []
+
+            def step():
+                w, c = nnpu(positive, held, size, prior, steps=steps, decay=decay, start=start, bias=first)
+                return np.r_[w, c] * len(held)
+
+            for batch in batches:
+                for row in batch.column(0):
+                    held.append(row.values.to_numpy(zero_copy_only=False))
+                    if len(held) >= 2 * block_rows:
+                        total, n, held = total + step(), n + len(held), []
+            if held:
+                total, n = total + step(), n + len(held)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size + 1)), pa.array(np.r_[n, total])], names=["at", "value"])
+
+        got = dealt.select("at").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at").value.to_numpy()
+        if not len(got):
+            break
+        weights, bias = got[1:-1] / got[0], got[-1] / got[0]
+    return weights, bias
+
+
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, *, steps: int = 300, rate: float = 0.05, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-3, start: np.ndarray | None = None, bias: float = -1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model; rows are arrays of present features."""
 
     def flat(rows):
@@ -144,7 +189,8 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
 
     (fp, rp), (fu, ru) = flat(positive), flat(unlabelled)
     n, m = max(1, len(positive)), max(1, len(unlabelled))
-    w, bias = np.zeros(size), -1.0
+    w = np.zeros(size) if start is None else start
+    often = np.bincount(fu, minlength=size) / m + prior * np.bincount(fp, minlength=size) / n  # so that a weight shrinks alike however rare its feature
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, steps + 1):
@@ -157,7 +203,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
             dp, du = gamma * away_p, -gamma * away_u  # ascend the negative risk
         else:
             dp, du = toward - away_p, away_u
-        grad = np.r_[np.bincount(fp, weights=dp[rp], minlength=size) + np.bincount(fu, weights=du[ru], minlength=size) + decay * w, dp.sum() + du.sum()]
+        grad = np.r_[np.bincount(fp, weights=dp[rp], minlength=size) + np.bincount(fu, weights=du[ru], minlength=size) + decay * often * w, dp.sum() + du.sum()]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -165,27 +211,27 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, max_positives: int = 4000, max_unlabelled: int = 12_000, min_df: int = 5, min_purity: float = 0.5, significance: float = 4.0, decay: float = 5e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, max_positives: int = 4000, block_rows: int = 12_000, rounds: int = 2, steps: int = 150, min_df: int = 5, significance: float = 4.0, decay: float = 0.03, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(features, weights, bias), or None without positives."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_toxic"))
     total, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     if not toxic:
         return None
-    if prior is None:
-        prior = float(np.clip(toxic / total, 0.001, 0.5))
     ids = sized(written(marks.where("_toxic = 1").select("_id"), "toxic-ids"), BROADCAST_IDS)
     marked = written(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("text"), "toxic-positives")
     known, df_p, n_p = candidate_features(_weighted(marked, "text"), min_df)
     if not n_p or not len(known):
         return None
     df_u, n_u = document_frequency(_weighted(docs, "text"), known)
+    if prior is None:
+        prior = toxic / total if toxic < total else min(0.5, n_p / max(1, n_u))
     chance = df_u * n_p / max(1, n_u)  # positives with the feature if it had nothing to do with toxicity
-    chosen = (prior * df_p / n_p >= min_purity * df_u / max(1, n_u)) & (df_p >= chance + significance * np.sqrt(chance) + min_df / 2)
+    chosen = np.abs(df_p - chance) >= significance * np.sqrt(chance) + min_df / 2
     known, purity = known[chosen], (prior * df_p[chosen] / n_p) / (df_u[chosen] / max(1, n_u))
-    unlabelled = written(_sample(docs, "text", max_unlabelled, seed + 1), "toxic-unlabelled")
+    rows = written(feature_rows(docs, known), "toxic-rows")
     positive = _rows_of(written(_sample(marked, "text", max_positives, seed), "toxic-training"), known)
-    weights, bias = nnpu(positive, _rows_of(unlabelled, known), len(known), prior, decay=decay)
+    weights, bias = fit(positive, rows, len(known), prior, rounds=rounds, block_rows=block_rows, steps=steps, decay=decay)
     unseen = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]), minlength=len(known)) == 0
     share = np.clip(purity[unseen], 0.01, 0.99)
     weights[unseen] = np.log(share / (1 - share)) - bias
