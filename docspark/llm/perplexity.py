@@ -174,10 +174,25 @@ def _find(keys: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarra
     return out
 
 
+def _direct(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the sorted hashes with each value of the leading bits, and its value; two to four places a hash."""
+    bits = max(1, len(hashes).bit_length()) + 1
+    place = (hashes >> U64(64 - bits)).astype(np.int64)[::-1]
+    keys, held = np.zeros(1 << bits, U64), np.zeros(1 << bits)
+    keys[0] = (1 << 64) - 1  # a hash that belongs elsewhere, as 0 does in all other places
+    keys[place], held[place] = hashes[::-1], values[::-1]
+    return keys, held
+
+
 def log_probabilities(model: dict[str, np.ndarray], grams: np.ndarray) -> np.ndarray:
     """Log probability of the last byte of each 5-gram, backing off where the 5-gram is unknown."""
-    out = np.zeros(len(grams))
-    at = np.arange(len(grams))
+    if "direct_keys" not in model:
+        model["direct_keys"], model["direct_values"] = _direct(model[f"g{ORDER}"], model[f"p{ORDER}"])
+    hashes = mix64(grams)
+    place = (hashes >> U64(65 - len(model["direct_keys"]).bit_length())).view(np.int64)
+    out = model["direct_values"][place]
+    at = np.flatnonzero(model["direct_keys"][place] != hashes)
+    out[at] = 0.0
     for n in range(ORDER, 0, -1):
         for kind in "gc":
             if f"{kind}{n}_starts" not in model:
