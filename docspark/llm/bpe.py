@@ -262,7 +262,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), tokens, pa.array(counts), ok], names=["doc_id", "tokens", "n_tokens", "round_trip"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, tokens array<int>, n_tokens long, round_trip boolean")
+    return arrow_map(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, tokens array<int>, n_tokens long, round_trip boolean", held.clear)
 
 
 def decode(rows: DataFrame, *, key: str = "doc_id", tokens: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:

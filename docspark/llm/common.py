@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,16 @@ from ..operators.graph import shared_folder
 BROADCAST_ROWS = 200_000
 #: The same for sides that have one integer a row.
 BROADCAST_IDS = 1_000_000
+#: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than glibc
+
+    def _trim(pad: int) -> None:
+        pass
+
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +51,34 @@ def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; the function may yield any number of batches."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From here on the session's Arrow batches have at most ``most`` bytes (a smaller setting stays).
+
+    JVM and worker both hold a batch whole, beside the JVM's heap, and hardly give that memory back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, and what one keeps counts in the next stage too."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow for a function of one batch; the function may yield any number of batches.  ``done`` is called after the last."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        batch = None
+        if done:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -1,6 +1,8 @@
 """The pipeline's stages against brute force, and its result as a whole."""
 
+import os
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from docspark.llm import bpe, simhash
-from docspark.llm.common import written
+from docspark.llm.common import BATCH_BYTES, arrow_map, written
 
 from .test_brute_force import brute_containment
 
@@ -82,3 +84,40 @@ def test_token_stage(stages):
 
 def test_run(spark, sf, stages):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in stages[5][1])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_bound_batches(spark, sf, stage):
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "word " * 2000
+    spark.conf.unset(key)
+    stage(spark, spark.createDataFrame([(1, text, "en", "a.example", len(text))], "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    rows = spark.range(0, 1500, 1, 1).selectExpr("id", "repeat('word ', 2000) || id AS text")
+
+    def sizes(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    got = arrow_map(rows, sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 1500 and max(r.size for r in got) < BATCH_BYTES + 2 * len(text)
+    spark.conf.set(key, "1m")
+    corpus_pipeline.bounded_batches(spark)
+    assert spark.conf.get(key) == "1m"  # a smaller setting stays
+    spark.conf.unset(key)
+
+
+def test_workers_give_memory_back(spark):
+    """What a task freed isn't held when the next one starts in the same worker."""
+    resident = "int(next(x for x in open('/proc/self/status') if x.startswith('VmRSS')).split()[1]) // 1024"
+    held = {}
+
+    def fill(batch):
+        held["all"] = [np.ones(8000) for _ in range(4000)]  # 256 MB in pieces, of which some stay: malloc keeps the gaps
+        sys.modules["__kept"] = held["all"][::50]
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([eval(resident)])], names=["pid", "mb"])
+
+    def look(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([eval(resident)])], names=["pid", "mb"])
+
+    one = spark.range(0, 1, 1, 1)
+    full = arrow_map(one, fill, "pid long, mb long", held.clear).collect()[0]
+    after = [r for r in (arrow_map(one, look, "pid long, mb long").collect()[0] for _ in range(16)) if r.pid == full.pid]
+    assert full.mb > 256 and after and after[0].mb < full.mb - 200
