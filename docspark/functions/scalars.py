@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,10 +138,14 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Even-odd ray casting against a fixed polygon."""
-    edges = list(zip(polygon, polygon[-1:] + polygon[:-1]))
-    crossings = [F.when(((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < F.lit(float(xj - xi)) * (y - yi) / F.lit(float(yj - yi) or 1.0) + xi), 1).otherwise(0) for (xi, yi), (xj, yj) in edges]
-    return F.coalesce(reduce(lambda a, b: a + b, crossings) % 2 == 1, F.lit(False))
+    """Even-odd ray casting against a fixed polygon; points on its edges are outside."""
+    crossings, on = F.lit(0), F.lit(False)
+    for ends in zip(polygon, polygon[-1:] + polygon[:-1]):
+        (xi, yi), (xj, yj) = sorted(((float(a), float(b)) for a, b in ends), key=lambda p: p[1])
+        across, along = (x - xi) * (yj - yi), (y - yi) * (xj - xi)  # a quotient would round points off the edge
+        crossings += F.when((y >= yi) & (y < yj) & (across < along), 1).otherwise(0)
+        on |= (across == along) & x.between(min(xi, xj), max(xi, xj)) & y.between(yi, yj)
+    return F.coalesce((crossings % 2 == 1) & ~on, F.lit(False))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

@@ -171,6 +171,13 @@ def test_geo(spark):
     assert [r["name"] for r in geo.nearest(df, (40.69, -74.04), 1).collect()] == ["Statue of Liberty"] and geo.in_box(df, 40.7, -74, 40.75, -73.9).count() == 1
 
 
+def test_points_on_an_edge_are_outside(spark):
+    points = [(85.0, 0.0), (45.0, 0.0), (0.0, 30.0), (37.41, 22.59), (0.0, 0.0), (60.0, 0.0), (1.0, 1.0), (37.41, 22.58), (37.42, 22.59), (None, 1.0)]
+    places = spark.createDataFrame(points, "lon double, lat double").select("lon", "lat", F.struct(F.array("lon", "lat").alias("coordinates")).alias("location"))
+    for corners in ([(0, 0), (60, 0), (0, 60)], [(0, 60), (60, 0), (0, 0)], [(0, 0), (60, 0), (0, 60), (0, 0)]):
+        assert values(geo.within_polygon(places, corners), "lon", "lat") == [(1.0, 1.0), (37.41, 22.58)]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("A", "B", "x", 1.0), ("B", "C", "x", 2.0), ("A", "C", "y", 5.0), ("D", "D", "x", 1.0)], "src string, dst string, label string, weight double")
     best = graph.shortest_path(edges, "A", "C").first()
