@@ -148,6 +148,11 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return F.coalesce((crossings % 2 == 1) & ~on, F.lit(False))
 
 
+def round_product(c: Column | str, digits: int) -> Column:
+    """Rounds c * 10^digits to the nearest integer as DuckDB does; Spark's round takes the shortest decimal text, which halves may differ by."""
+    return F.round(col(c) * 10.0**digits) / 10.0**digits
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     """Differing bits of two arrays of words."""
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

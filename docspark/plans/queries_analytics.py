@@ -86,7 +86,7 @@ SELECT strftime(to_timestamp(b / 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.00
 FROM (SELECT *, epoch_ms(ts) // 300000 * 300000 AS b FROM events) GROUP BY b""")
 def _(t):
     out = timeseries.bucket(t("events"), "ts", "5m", {"mean": {"$avg": "value"}, "high": {"$max": "value"}})
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", scalars.round_product("mean", 6))
 
 
 @query("ts_bucket_first_last", "SELECT epoch_ms(ts) // 3600000 * 3600000 AS bucketStart, arg_min(event_type, event_id) AS first, arg_max(event_type, event_id) AS last, round(sum(value), 4) AS total FROM events GROUP BY 1")

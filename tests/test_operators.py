@@ -178,6 +178,23 @@ def test_points_on_an_edge_are_outside(spark):
         assert values(geo.within_polygon(places, corners), "lon", "lat") == [(1.0, 1.0), (37.41, 22.58)]
 
 
+def test_times_go_to_the_nearest_millisecond(spark):
+    texts = ["2024-01-01 00:04:59.999499", "2024-01-01 00:04:59.9995", "2024-01-01 00:05:00", "1969-12-31 23:59:59.9995", "1969-12-31 23:59:59.999501"]
+    df = spark.createDataFrame([(x, float(i)) for i, x in enumerate(texts)], "t string, v double")
+    for times in (df, df.withColumn("t", F.col("t").cast("timestamp_ntz"))):
+        assert [r[0] for r in times.select(timeseries.millis(times, "t")).collect()] == [1704067499999, 1704067500000, 1704067500000, -1, 0]
+        late = times.where("v < 3")
+        assert values(timeseries.bucket(late, "t", "5m", {"mean": {"$avg": "v"}}), "bucketStart", "count", "mean") == [(1704067200000, 1, 0.0), (1704067500000, 2, 1.5)]
+        assert values(timeseries.rollup(late, "t", "v", 60_000), "windowStart", "count") == [(1704067440000, 1), (1704067500000, 2)]
+
+
+def test_round_product(spark):
+    df = spark.createDataFrame([(0.1234565,), (-0.1234565,), (49.577539062499994,), (1.0,), (None,)], "x double")
+    got = [r[0] for r in df.select(scalars.round_product("x", 6)).collect()]
+    away = lambda x: math.copysign(math.floor(abs(x * 1e6) + 0.5), x) / 1e6
+    assert got == [None if r.x is None else away(r.x) for r in df.collect()]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("A", "B", "x", 1.0), ("B", "C", "x", 2.0), ("A", "C", "y", 5.0), ("D", "D", "x", 1.0)], "src string, dst string, label string, weight double")
     best = graph.shortest_path(edges, "A", "C").first()
