@@ -98,7 +98,7 @@ def _(t):
 @query("ts_rollup", "SELECT epoch_ms(ts) // 60000 * 60000 AS windowStart, count(value) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY 1")
 def _(t):
     out = timeseries.rollup(t("events"), "ts", "value")
-    return out.withColumns({"sum": F.round("sum", 4), "avg": F.round("avg", 6)})
+    return out.withColumns({"sum": scalars.round_product("sum", 4), "avg": scalars.round_product("avg", 6)})
 
 
 @query("ts_sliding", """
