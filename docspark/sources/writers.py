@@ -132,10 +132,13 @@ def ring(nodes: list[str], virtual: int = 64) -> list[tuple[int, str]]:
 def shard_of(key: Column, nodes: list[str], virtual: int = 64) -> Column:
     """The node of a key: the first on the ring at or after its hash, else the first of all."""
     points = ring(nodes, virtual)
+    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
+    spots = F.lit([p for p, _ in points] + [1 << 32] * (2 * steps[0] - 1 - len(points)))
+    names = F.lit([n for _, n in points + points[:1]])
     h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
-    spots = F.lit([p for p, _ in points])
-    at = F.size(F.filter(spots, lambda p: p < h))
-    return F.element_at(F.lit([n for _, n in points]), F.when(at == len(points), 1).otherwise(at + 1))
+    # A binary search; the hash is bound to a variable, as an expression in a lambda is computed at every step.
+    search = lambda x: F.aggregate(F.lit(steps), F.lit(0), lambda at, step: at + F.when(F.get(spots, at + step - 1) < x, step).otherwise(0))
+    return F.get(F.transform(F.array(h), lambda x: F.get(names, search(x))), F.lit(0))
 
 
 def field_presence(df: DataFrame) -> DataFrame:

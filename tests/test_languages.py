@@ -1,6 +1,7 @@
 """SQL, GraphQL, natural language, commands, models, sources and streams."""
 
 import datetime
+import hashlib
 import json
 
 import pytest
@@ -113,6 +114,16 @@ def test_files(spark, people, tmp_path):
     assert {r["field"]: r["present"] for r in writers.field_presence(people).collect()} == {"_id": 4, "name": 4, "age": 3, "score": 3}
 
 
+def test_ring_search_hashes_each_key_once(spark):
+    for nodes, virtual in ((["a"], 1), (["a", "b"], 1), (["n1", "n2", "n3"], 64), ([f"n{i}" for i in range(17)], 5)):
+        points = writers.ring(nodes, virtual)
+        df = spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("id")).select("id", writers.shard_of(F.col("id"), nodes, virtual).alias("n"))
+        for r in df.collect():
+            h = -1 if r["id"] is None else int(hashlib.md5(str(r["id"]).encode()).hexdigest()[:8], 16)
+            assert r["n"] == next((n for p, n in points if p >= h), points[0][1])
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
 def test_ring(spark):
     points = writers.ring(["a", "b"], 4)
     df = spark.range(200).select(F.col("id"), writers.shard_of(F.col("id"), ["a", "b"], 4).alias("n"))
