@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.graph import shared_folder, sized, written  # noqa: F401
 
-#: Rows up to which a side of a join is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
-#: The same for sides that have one integer a row.
+#: Rows up to which a side of a join that has one integer a row is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -33,24 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``most`` rows (it should be a written table: it is counted)."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
-
-
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """From here on the session's Arrow batches have at most ``most`` bytes (a smaller setting stays).
 

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows up to which a side of a join is broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a local one only where none is set and all run in this process."""
@@ -32,6 +36,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if it has at most ``most`` rows (it should be a written or checkpointed table: it is counted)."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def unique_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     """One edge a pair: the one of the greatest ``order``, or any."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
+from .graph import sized, written
+
+#: Rows that one task sorts to rank them.
+RANK_ROWS = 500_000
 
 
 def _query_terms(df: DataFrame, query: str, tokens) -> list[str]:
@@ -115,13 +119,37 @@ def pack_budget(df: DataFrame, *, by: list[str], rank: str, text: str = "text",
     return packed.select(*by, F.explode("_p.out").alias("_x")).select(*by, "_x.*")
 
 
-def rrf(lists: DataFrame, *, name: str = "list", key: str = "doc_id", score: str = "score", k: int = 60, weights: dict[str, float] | None = None, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str, *, task_rows: int = RANK_ROWS) -> DataFrame:
+    """1-based rank of each row within ``by``, whose values may have any share of the rows.
+
+    Rows are written, then sorted over ranges of at most about ``task_rows``: a row's place in its range, less that of
+    the first row of its ``by`` there, and the rows of that ``by`` in the ranges before give the rank.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    rows = written(rows, "rank-rows")
+    n = rows.count()
+    if n <= task_rows:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // task_rows))
+    keys = [*(F.col(c) for c in by), *order]
+    placed = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "rank-places")  # of the same ranges for the counts and for the ranks
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.partitionBy(*(f"_b_{c}" for c in by)).orderBy("_b_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*(F.col(c).alias(f"_b_{c}") for c in by), part.alias("_b_part")).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    offsets = counts.select(*(f"_b_{c}" for c in by), "_b_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    on = part == F.col("_b_part")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return placed.join(sized(written(offsets, "rank-offsets")), on).select(*columns, (place + F.col("_offset")).alias(name))
+
+
+def rrf(lists: DataFrame, *, name: str = "list", key: str = "doc_id", score: str = "score", k: int = 60, weights: dict[str, float] | None = None, by: list[str] | None = None, digits: int | None = None, task_rows: int = RANK_ROWS) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (one DataFrame, a row a hit): (by, key, rrf_score)."""
     by = by or []
-    order = Window.partitionBy(*by, name).orderBy(F.desc(score), key)
     weight: Column = F.lit(1.0)
     for n, w in (weights or {}).items():
         weight = F.when(F.col(name) == n, F.lit(float(w))).otherwise(weight)
-    ranked = lists.withColumn("_rank", F.row_number().over(order)).withColumn("_part", weight / (k + F.col("_rank")))
+    hits = ranked(lists.select(*by, name, key, score), [*by, name], [F.desc(score), F.asc(key)], "_rank", task_rows=task_rows).withColumn("_part", weight / (k + F.col("_rank")))
     total = F.sum("_part")
-    return ranked.groupBy(*by, key).agg((F.round(total, digits) if digits is not None else total).alias("rrf_score"))
+    return hits.groupBy(*by, key).agg((F.round(total, digits) if digits is not None else total).alias("rrf_score"))

@@ -7,6 +7,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.functions import scalars
@@ -277,6 +278,24 @@ def test_search(spark):
     assert len(fused) == 3 and fused[0]["doc_id"] == "doc_B" and math.isclose(fused[0]["rrf_score"], 1 / 62 + 1 / 61)
 
 
+def _hits(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaaaab"), i, rng.choice([None, float("nan"), -0.0, 0.0, 1.0, 2.0, rng.random()])) for i in range(300)] + [(None, 1, 1.0), (None, 2, 3.0), ("c", 5, 1.0)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "list string, doc_id long, score double")
+
+
+def test_ranks_by_ranges_are_those_of_one_sort(spark):
+    hits = _hits(spark)
+    order = [F.desc("score"), F.asc("doc_id")]
+    want = values(hits.withColumn("r", F.row_number().over(Window.partitionBy("list").orderBy(*order))).where("list IS NOT NULL"), "list", "doc_id", "r")
+    for most in (7, 100, 1000):
+        got = text.ranked(hits, ["list"], order, "r", task_rows=most)
+        assert values(got.where("list IS NOT NULL"), "list", "doc_id", "r") == want and values(got.where("list IS NULL"), "doc_id", "r") == [(1, 2), (2, 1)]
+        assert ("row_number" in got._jdf.queryExecution().optimizedPlan().toString()) == (most == 1000)
+    assert text.ranked(hits.limit(0), ["list"], order, "r").count() == 0
+
+
 def test_budget_and_duplicates(spark):
     words = " ".join(["word"] * 200)
     docs = spark.createDataFrame([(0, i, f"{words} {i}") for i in range(3)] + [(1, 0, "a b c d"), (1, 1, "a b c d"), (1, 2, "x y z"), (1, 3, " "), (1, 4, None)], "q int, rank int, text string")
