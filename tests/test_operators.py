@@ -296,6 +296,12 @@ def test_ranks_by_ranges_are_those_of_one_sort(spark):
     assert text.ranked(hits.limit(0), ["list"], order, "r").count() == 0
 
 
+def test_weighted_fusion_does_not_depend_on_ranges(spark):
+    hits = _hits(spark).where("list IS NOT NULL")
+    one, many = (values(text.rrf(hits, weights={"b": 2.0}, digits=9, task_rows=n), "doc_id", "rrf_score") for n in (1000, 9))
+    assert one == many and len(one) == hits.select("doc_id").distinct().count()
+
+
 def test_budget_and_duplicates(spark):
     words = " ".join(["word"] * 200)
     docs = spark.createDataFrame([(0, i, f"{words} {i}") for i in range(3)] + [(1, 0, "a b c d"), (1, 1, "a b c d"), (1, 2, "x y z"), (1, 3, " "), (1, 4, None)], "q int, rank int, text string")
