@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows that one task sorts or groups.
+TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +51,12 @@ def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` partitioned by keys, in so many partitions that a task has about ``TASK_ROWS`` of its rows at most (else it is counted)."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-(df.count() if rows is None else rows) // TASK_ROWS)), *keys)
+
+
 def unique_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     """One edge a pair: the one of the greatest ``order``, or any."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
@@ -75,23 +83,27 @@ def neighbours(edges: DataFrame, vertices: DataFrame, node, label: str | None =
 def shortest_paths(edges: DataFrame, source, *, weight: str = "weight", max_rounds: int = 100) -> DataFrame:
     """(node, distance, path) of every node that can be reached; weights are positive.
 
-    Bellman-Ford rounds from a frontier of improved nodes; ties go to the path that sorts first.
+    Bellman-Ford rounds from a frontier of improved nodes; ties go to the path that sorts first.  Edges are reduced once
+    and stay where they are while a frontier is small enough to be broadcast.  A round first finds the least distances,
+    then the paths of these only, so no path is carried along every edge.
     """
     spark = edges.sparkSession
-    steps = edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w"))
+    steps = written(spread(edges, "src", "dst").groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")), "steps")
     kind = edges.schema["src"].dataType
     start = F.lit(source).cast(kind)
     best = spark.range(1).select(start.alias("node"), F.lit(0.0).alias("distance"), F.array(start).alias("path"))
     best = frontier = checkpointed(best)
     for _ in range(max_rounds):
-        reached = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
-        reached = reached.groupBy("node").agg(F.min(F.struct("distance", "path")).alias("new")).select("node", F.col("new.distance").alias("d"), F.col("new.path").alias("p"))
-        merged = checkpointed(best.join(reached, "node", "full"))
-        better = F.col("distance").isNull() | (F.coalesce(F.col("d") < F.col("distance"), F.lit(False)))
-        frontier = merged.where(better).select("node", F.col("d").alias("distance"), F.col("p").alias("path"))
-        if frontier.isEmpty():
+        tails = sized(frontier.toDF("src", "_distance", "_path"))
+        moves = steps.join(tails, "src").select(F.col("dst").alias("node"), (F.col("_distance") + F.col("w")).alias("d"), "_path")
+        least = moves.groupBy("node").agg(F.min("d").alias("least")).join(best.select("node", "distance"), "node", "left")
+        least = checkpointed(least.where(F.col("distance").isNull() & F.col("least").isNotNull() | (F.col("least") < F.col("distance"))).select("node", "least"))
+        if least.isEmpty():
             return best
-        best = merged.select("node", F.when(better, F.col("d")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("p")).otherwise(F.col("path")).alias("path"))
+        reached = moves.join(sized(least), "node").where(F.col("d") == F.col("least")).groupBy("node").agg(F.min("d").alias("_d"), F.min(F.concat("_path", F.array("node"))).alias("_p"))
+        frontier = checkpointed(reached.toDF("node", "distance", "path"))
+        merged = best.join(frontier.toDF("node", "_d", "_p"), "node", "full")
+        best = checkpointed(merged.select("node", F.coalesce("_d", "distance").alias("distance"), F.coalesce("_p", "path").alias("path")))
     raise RuntimeError(f"shortest paths not settled in {max_rounds} rounds")
 
 

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from .graph import sized, written
-
-#: Rows that one task sorts to rank them.
-RANK_ROWS = 500_000
+from .graph import TASK_ROWS, sized, written
 
 
 def _query_terms(df: DataFrame, query: str, tokens) -> list[str]:
@@ -119,7 +116,7 @@ def pack_budget(df: DataFrame, *, by: list[str], rank: str, text: str = "text",
     return packed.select(*by, F.explode("_p.out").alias("_x")).select(*by, "_x.*")
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str, *, task_rows: int = RANK_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str, *, task_rows: int = TASK_ROWS) -> DataFrame:
     """1-based rank of each row within ``by``, whose values may have any share of the rows.
 
     Rows are written, then sorted over ranges of at most about ``task_rows``: a row's place in its range, less that of
@@ -144,7 +141,7 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str, *, ta
     return placed.join(sized(written(offsets, "rank-offsets")), on).select(*columns, (place + F.col("_offset")).alias(name))
 
 
-def rrf(lists: DataFrame, *, name: str = "list", key: str = "doc_id", score: str = "score", k: int = 60, weights: dict[str, float] | None = None, by: list[str] | None = None, digits: int | None = None, task_rows: int = RANK_ROWS) -> DataFrame:
+def rrf(lists: DataFrame, *, name: str = "list", key: str = "doc_id", score: str = "score", k: int = 60, weights: dict[str, float] | None = None, by: list[str] | None = None, digits: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (one DataFrame, a row a hit): (by, key, rrf_score)."""
     by = by or []
     weight: Column = F.lit(1.0)

@@ -159,8 +159,9 @@ def _(t):
 def _edges(t):
     """From the supplier of each shipment of a part to that of the part's next one, with the number of such steps."""
     after = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    steps = t("lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(after).alias("dst"))
-    return steps.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    n = t("lineitem").count()
+    steps = graph.spread(t("lineitem"), "l_partkey", rows=n).select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(after).alias("dst"))
+    return graph.spread(steps.where("src <> dst"), "src", "dst", rows=n).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query("graph_neighbours", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 3")
@@ -171,7 +172,7 @@ def _(t):
 
 @query("graph_shortest_path")
 def _(t):
-    edges = graph.checkpointed(_edges(t))
+    edges = graph.written(_edges(t), "edges")
     return graph.shortest_paths(edges, edges.agg(F.min("src")).first()[0]).select("node", "distance")
 
 

@@ -226,6 +226,13 @@ def test_graph_matches_brute_force(spark):
         assert {r.node: r.distance for r in graph.shortest_paths(df, source).collect()} == {source: 0.0} | {b: far[source, b] for b in range(n) if b != source and far[source, b] < float("inf")}
 
 
+def test_paths_of_equal_length_and_bounded_tasks(spark):
+    df = spark.createDataFrame([("A", "B", 1.0), ("B", "C", 1.0), ("A", "C", 5.0), ("A", "D", 1.0), ("D", "C", 1.0), ("C", "E", 1.0), ("A", "F", None)], "src string, dst string, weight double")
+    got = {r["node"]: (r["distance"], r["path"]) for r in graph.shortest_paths(df, "A").collect()}
+    assert got == {"A": (0.0, ["A"]), "B": (1.0, ["A", "B"]), "D": (1.0, ["A", "D"]), "C": (2.0, ["A", "B", "C"]), "E": (3.0, ["A", "B", "C", "E"])}
+    assert graph.spread(df, "src", rows=20 * graph.TASK_ROWS + 1).rdd.getNumPartitions() == 21 and graph.spread(df, "src").rdd.getNumPartitions() == 4
+
+
 def naive_embedding(text, dimensions):
     tokens = text.lower().split()
     joined = "".join(tokens)
