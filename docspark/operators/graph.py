@@ -133,23 +133,24 @@ def nodes_in_cycles(edges: DataFrame) -> DataFrame:
     of all colours are found at once and taken out until no edge is left, so no pairs of nodes are kept, only a row a node.
     Every round takes a component of each colour out, so the rounds end by themselves.
     """
-    left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    left = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     found = left.select(F.col("src").alias("node")).limit(0)
     while not left.isEmpty():
         colour = checkpointed(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().select("node", F.col("node").alias("colour")))
         while True:
-            into = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
+            into = left.join(sized(colour), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
             step = checkpointed(colour.join(into, "node", "left").select("node", F.greatest("colour", "_new").alias("colour"), (F.coalesce("_new", "colour") > F.col("colour")).alias("_moved")))
             colour = step.drop("_moved")
             if step.where("_moved").isEmpty():
                 break
-        tails, heads = colour.toDF("src", "colour"), colour.toDF("dst", "_colour")
-        within = checkpointed(left.join(tails, "src").join(heads, "dst").where(F.col("colour") == F.col("_colour")).select("src", "dst"))
+        tails, heads = sized(colour.toDF("src", "colour")), sized(colour.toDF("dst", "_colour"))
+        within = written(left.join(tails, "src").join(heads, "dst").where(F.col("colour") == F.col("_colour")).select("src", "dst"), "edges")
         back = fresh = checkpointed(colour.where("node = colour").select("node"))
         while not fresh.isEmpty():
-            fresh = checkpointed(within.join(fresh, within["dst"] == fresh["node"], "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            fresh = checkpointed(within.join(sized(fresh), F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
             back = checkpointed(back.union(fresh))
-        cyclic = within.join(back.toDF("src"), "src", "left_semi").join(back.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        tails, heads = sized(back.toDF("src")), sized(back.toDF("dst"))
+        cyclic = within.join(tails, "src", "left_semi").join(heads, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         found = checkpointed(found.union(cyclic))
-        left = checkpointed(within.join(back.toDF("src"), "src", "left_anti").join(back.toDF("dst"), "dst", "left_anti"))
+        left = written(within.join(tails, "src", "left_anti").join(heads, "dst", "left_anti"), "edges")
     return found
