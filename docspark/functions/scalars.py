@@ -121,8 +121,9 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column | str, b: Column | str) -> Column:
     """0 for different lengths or a zero vector."""
     a, b = col(a), col(b)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+    parts = F.struct(dot(a, b).alias("dot"), (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))).alias("norm"))
+    once = F.transform(F.array(parts), lambda x: F.when(x["norm"] == 0, 0.0).otherwise(x["dot"] / x["norm"]))  # binds the parts, which are used twice
+    return F.when(F.size(a) != F.size(b), 0.0).otherwise(F.get(once, F.lit(0)))
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:

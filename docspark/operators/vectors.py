@@ -106,25 +106,55 @@ def memory_estimate(n: Column, dimensions: int) -> Column:
 _FNV, _WORD = np.uint64(0x01000193), np.uint64(0xFFFFFFFF)
 
 
-def _embed(text: str | None, dimensions: int) -> list[float]:
-    words = (text or "").lower().split()
-    if not words:
-        return [0.0] * dimensions
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(w) for w in words])
-    start, n, w = np.cumsum(size) - size, len(codes), len(words)
-    h = np.full(w + max(0, 2 * n - 3), 0x811C9DC5, np.uint64)
-    alive = np.arange(w)
+#: Characters that are embedded at once; a longer text is by itself.
+_SLICE = 1 << 17
+
+
+def _embed(texts: list[str | None], dimensions: int) -> np.ndarray:
+    """A row a text."""
+    words = [(t or "").lower().split() for t in texts]
+    w = np.array([len(x) for x in words], np.int64)
+    size = np.array([len(y) for x in words for y in x], np.int64)
+    codes = np.frombuffer("".join(y for x in words for y in x).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of_word = np.repeat(np.arange(len(texts)), w)
+    n = np.bincount(of_word, size, len(texts)).astype(np.int64)
+    total = w + np.maximum(0, 2 * n - 3) * (n > 0)
+    base = np.cumsum(total) - total
+    out = np.zeros((len(texts), dimensions))
+    if not len(codes):
+        return out
+    start = np.cumsum(size) - size
+    hashed = np.full(len(size), 0x811C9DC5, np.uint64)
+    alive = np.arange(len(size))
     for j in range(int(size.max())):
         alive = alive[size[alive] > j]
-        h[alive] = (h[alive] ^ codes[start[alive] + j]) * _FNV & _WORD
-    if n > 1:  # after the words, the 2- and the 3-gram at each character
-        one = (np.uint64(0x811C9DC5) ^ codes) * _FNV & _WORD
-        two = (one[:-1] ^ codes[1:]) * _FNV & _WORD
-        h[w::2], h[w + 1 :: 2] = two, (two[:-1] ^ codes[2:]) * _FNV & _WORD
+        hashed[alive] = (hashed[alive] ^ codes[start[alive] + j]) * _FNV & _WORD
+    h = np.empty(int(total.sum()), np.uint64)
+    h[base[of_word] + np.arange(len(size)) - (np.cumsum(w) - w)[of_word]] = hashed
+    # After a text's words come the 2- and the 3-gram at each character.
+    of_code = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(codes)) - (np.cumsum(n) - n)[of_code]
+    spot, left = (base + w)[of_code] + 2 * at, n[of_code] - at
+    one = (np.uint64(0x811C9DC5) ^ codes) * _FNV & _WORD
+    two = (one[:-1] ^ codes[1:]) * _FNV & _WORD
+    three = (two[:-1] ^ codes[2:]) * _FNV & _WORD
+    i, k = np.flatnonzero(left > 1), np.flatnonzero(left > 2)
+    h[spot[i]], h[spot[k] + 1] = two[i], three[k]
     signed = h.astype(np.uint32).view(np.int32).astype(np.int64)
-    out = np.bincount(np.abs(signed) % dimensions, 1 / np.sqrt(np.arange(1, len(h) + 1)), dimensions)
-    return (out / np.linalg.norm(out)).tolist()
+    of = np.repeat(np.arange(len(texts)), total)
+    out = np.bincount(of * dimensions + np.abs(signed) % dimensions, 1 / np.sqrt(np.arange(1, len(h) + 1) - base[of]), len(texts) * dimensions).reshape(-1, dimensions)
+    return out / np.array([np.linalg.norm(x) or 1.0 for x in out])[:, None]
+
+
+def _slices(texts: list[str | None]):
+    """Runs of texts of up to ``_SLICE`` characters, or one."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > _SLICE and i > begin:
+            yield texts[begin:i]
+            begin, held = i, len(t or "")
+    yield texts[begin:]
 
 
 def embed(c: Column | str, dimensions: int = 64) -> Column:
@@ -132,13 +162,13 @@ def embed(c: Column | str, dimensions: int = 64) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: _embed(t, dimensions))
+        return pd.Series([x for part in _slices(batch.tolist()) for x in _embed(part, dimensions)], dtype=object)
 
     return run(scalars.col(c))
 
 
 def embed_text(text: str, dimensions: int = 64) -> list[float]:
-    return _embed(text, dimensions)
+    return _embed([text], dimensions)[0].tolist()
 
 
 def hybrid(df: DataFrame, query: str, query_vector: list[float], *, key: str = "doc_id", text: str = "text", vector: str = "vector", k: int = 5, budget: int | None = None) -> DataFrame:

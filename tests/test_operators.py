@@ -264,6 +264,15 @@ def test_embedding_matches_a_naive_one(text):
     assert vectors.embed_text(text, 64) == pytest.approx(naive_embedding(text, 64), abs=1e-12)
 
 
+def test_embeddings_of_a_batch_are_those_of_each_text():
+    texts = ["a", None, "ab", "", "a b", "Hello wide World", " ", "机器学习 与 AI", "naïve 🙂 façade " * 20, "x" * (vectors._SLICE + 1), "abc"]
+    parts = list(vectors._slices(texts))
+    assert sum(parts, []) == texts and len(parts) == 3
+    got = [row.tolist() for part in parts for row in vectors._embed(part, 64)]
+    assert got == [vectors.embed_text(t, 64) for t in texts]
+    assert all(x == pytest.approx(naive_embedding(t, 64), abs=1e-12) for t, x in zip(texts, got) if t and t.strip() and len(t) < 1000)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 21])
 def test_merkle_subtrees(spark, n):
     leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
