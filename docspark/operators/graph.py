@@ -12,9 +12,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: The same for nodes with a number each, if nodes are numbers.
+BROADCAST_NODES = 1_000_000
 #: Rows that one task sorts or groups.
 TASK_ROWS = 500_000
 
@@ -134,22 +137,23 @@ def nodes_in_cycles(edges: DataFrame) -> DataFrame:
     Every round takes a component of each colour out, so the rounds end by themselves.
     """
     left = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    most = BROADCAST_NODES if isinstance(left.schema["src"].dataType, T.NumericType) else BROADCAST_ROWS
     found = left.select(F.col("src").alias("node")).limit(0)
     while not left.isEmpty():
         colour = checkpointed(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().select("node", F.col("node").alias("colour")))
         while True:
-            into = left.join(sized(colour), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
+            into = left.join(sized(colour, most), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_new"))
             step = checkpointed(colour.join(into, "node", "left").select("node", F.greatest("colour", "_new").alias("colour"), (F.coalesce("_new", "colour") > F.col("colour")).alias("_moved")))
             colour = step.drop("_moved")
             if step.where("_moved").isEmpty():
                 break
-        tails, heads = sized(colour.toDF("src", "colour")), sized(colour.toDF("dst", "_colour"))
+        tails, heads = sized(colour.toDF("src", "colour"), most), sized(colour.toDF("dst", "_colour"), most)
         within = written(left.join(tails, "src").join(heads, "dst").where(F.col("colour") == F.col("_colour")).select("src", "dst"), "edges")
         back = fresh = checkpointed(colour.where("node = colour").select("node"))
         while not fresh.isEmpty():
-            fresh = checkpointed(within.join(sized(fresh), F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            fresh = checkpointed(within.join(sized(fresh, most), F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
             back = checkpointed(back.union(fresh))
-        tails, heads = sized(back.toDF("src")), sized(back.toDF("dst"))
+        tails, heads = sized(back.toDF("src"), most), sized(back.toDF("dst"), most)
         cyclic = within.join(tails, "src", "left_semi").join(heads, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         found = checkpointed(found.union(cyclic))
         left = written(within.join(tails, "src", "left_anti").join(heads, "dst", "left_anti"), "edges")

@@ -238,7 +238,7 @@ def test_graphs_do_not_depend_on_broadcasts(spark, monkeypatch):
     df = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
     asked = []
     for most in (100, 0):
-        monkeypatch.setattr(graph, "sized", lambda small, real=most: asked.append(1) or (F.broadcast(small) if real else small))
+        monkeypatch.setattr(graph, "sized", lambda small, limit=0, real=most: asked.append(1) or (F.broadcast(small) if real else small))
         assert values(graph.nodes_in_cycles(df), "node") == [(i,) for i in range(1, 7)]
         assert values(graph.shortest_paths(df, 8), "node", "distance") == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0), (5, 5.0), (6, 6.0), (8, 0.0), (9, 7.0)]
     assert asked
